@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, minhash, mixing, packing, toxicity, url_rules, warc
+from . import embeddings, language, media, minhash, mixing, packing, toxicity, url_rules, warc
 from ._store import crc_mod, table
 
 #: (verdict, host, path)
@@ -86,6 +86,23 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM embeddings),
+e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.x, b.x) >= 0.93 * a.norm * b.norm),
+r(node, label) AS (SELECT vec_id, vec_id FROM v UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node WHERE r.label < e.b),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT node AS vec_id, min(label) AS component_id FROM r GROUP BY node) c LEFT JOIN n ON n.a = c.vec_id
+"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -104,8 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op5_media": op5_media,
     "op6_language": op6_language,
+    "op7_embeddings": op7_embeddings,
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op3_url_filter": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op3_url_filter": OP3_SQL, "op7_embeddings": OP7_SQL}
