@@ -1,25 +1,83 @@
-"""A training-data pipeline over ``documents``: language, toxicity, near-duplicates, mixing, packing."""
+"""A training-data pipeline over ``documents``: language, toxicity, near-duplicates, mixing, packing.
+
+A stage reads every row that its predecessor kept and decides on those rows
+alone; its rows are written as Parquet and read again by the next stage.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomline.llm import language, minhash, mixing, packing, toxicity
+from loomline.llm._graph import IdFilter
+from loomline.llm._store import crc_mod, staged, table
+from loomline.llm.queries import tokenizer_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Share of a text's n-grams that its language must explain.
+LEAST_LANGUAGE = 0.5
+
+
+def _flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents without those of ``ids`` (doc_id): a filter of fixed size finds the candidates, so that few texts are shuffled."""
+    marked = IdFilter(ids, "doc_id").mark(docs, "doc_id", "_maybe")
+    sure = marked.filter(~F.col("_maybe")).drop("_maybe")
+    return sure.unionByName(marked.filter("_maybe").drop("_maybe").join(ids, "doc_id", "left_anti"))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter and those that no learned language explains."""
+    found = language.predict(docs, language.fit(docs.filter(crc_mod("doc_id", 4) != 2)))
+    bad = staged(found.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE)).select("doc_id").distinct(), "pipeline-und")
+    return _flagged(docs, bad).select(COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents predicted toxic."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 3) != 1))
+    bad = staged(toxicity.score(docs, model).filter("predicted = 1").select("doc_id").distinct(), "pipeline-toxic")
+    return _flagged(docs, bad).select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each group of near-duplicates."""
+    bad = staged(minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "pipeline-copies")
+    return _flagged(docs, bad).select(COLUMNS).dropDuplicates(["doc_id"])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats whole documents as the mix takes them: taken / size times, a fraction being rounded up with that chance, by a hash of the id."""
+    taken = mixing.mix(docs).taken().groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    u = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + u)).otherwise(0)
+    times = staged(taken.select("doc_id", F.least(copies, F.lit(2)).cast("int").alias("_copies")).filter("_copies > 0"), "pipeline-copies")
+    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(COLUMNS)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    return packing.with_crc(packing.pack(docs, tokenizer_path()))
 
-from loomline.llm._store import staged, table
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of ``documents``.
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", identify_language),
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_tokens),
+]
 
-#: The stages are not expressible in SQL; tests hold them against brute force.
+#: No stage but the third can be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage's rows are written as Parquet and read again by the next."""
+    """The rows of the last stage."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -50,7 +50,8 @@ class IdFilter:
         table[found["w"].to_numpy()] = found["v"].to_numpy().astype(np.uint32)
         self.bits = np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
 
-    def apply(self, df: DataFrame, column: str) -> DataFrame:
+    def mark(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """``df`` with a boolean column: whether the id may be held. Null ids are not."""
         packed = df.sparkSession.sparkContext.broadcast(np.packbits(self.bits))
         n = self.BITS
 
@@ -59,4 +60,8 @@ class IdFilter:
             s = spot.to_numpy()
             return pd.Series(packed.value[s >> 3] >> (7 - (s & 7)) & 1 == 1)
 
-        return df.filter(F.col(column).isNotNull()).filter(known(F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(n)).cast("int")))
+        spot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(n)).cast("int")
+        return df.withColumn(name, F.col(column).isNotNull() & known(spot))
+
+    def apply(self, df: DataFrame, column: str) -> DataFrame:
+        return self.mark(df, column, "_held").filter("_held").drop("_held")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, media, minhash, mixing, packing, toxicity, url_rules, warc
+from . import embeddings, language, lm_score, media, minhash, mixing, packing, toxicity, url_rules, warc
 from ._store import crc_mod, table
 
 #: (verdict, host, path)
@@ -72,6 +72,11 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f W
 """
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.media_columns(table(spark, sf_dir, "documents"))
     return found.select(
@@ -119,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
     "op3_url_filter": op3_url_filter,
+    "op4_lm_score": op4_lm_score,
     "op5_media": op5_media,
     "op6_language": op6_language,
     "op7_embeddings": op7_embeddings,
