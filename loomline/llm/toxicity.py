@@ -3,7 +3,7 @@
 Terms are words and their beginnings of 4 and 5 bytes, without closing
 punctuation, A-Z lower-cased. The vocabulary holds the terms whose presence goes
 with the label in a bounded sample of labelled documents (log-likelihood ratio
-over ``min_ratio``); their document frequencies are counted over all documents.
+over ``min_ratio``, and ``min_lift`` times as frequent with it as without); their document frequencies are counted over all documents.
 A document's neighbours are the ``neighbours`` examples of largest cosine; votes
 weighted by cosine over distance give a raw score, which a monotone step function
 fitted on left-out examples turns into a probability. The neighbours' ids are the
@@ -70,29 +70,37 @@ class BlockMaxIndex:
         self.most = self.most.reshape(terms, -1)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive dot product: (numbers, products), largest first. Exact.
+        """The k examples of largest positive dot product, ties by number: (numbers, products). Exact.
 
-        Blocks are opened by falling bound, in waves that double, until no bound
-        exceeds the k-th product. Of equal products those opened first stay.
+        The blocks of largest bound are opened first; their k-th product then tells
+        which others can hold a better example, and those are opened together.
         """
         bound = weights @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best_n, best_s, at, wave = np.empty(0, np.int64), np.empty(0), 0, 2
-        while at < len(order) and not (len(best_n) == k and bound[order[at]] <= best_s[-1] + 1e-12):
-            blocks = order[at : at + wave]
-            cell = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
-            lo = self.begin[cell].astype(np.int64)
-            size = self.begin[cell + 1] - lo
-            posting = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-            number, row = np.unique(self.example[posting], return_inverse=True)
-            score = np.bincount(row, weights=np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[posting], minlength=len(number))
-            good = number != skip
-            n, s = np.concatenate([best_n, number[good]]), np.concatenate([best_s, score[good]])
-            keep = np.argsort(-np.round(s, 12), kind="stable")[:k]
-            best_n, best_s = n[keep], s[keep]
-            at, wave = at + wave, 2 * wave
-        return best_n, best_s
+        score = self._opened(terms, weights, order[: self.FIRST], skip)
+        if len(score) > k and len(order) > self.FIRST:
+            least = np.partition(score, len(score) - k)[len(score) - k]
+            rest = order[self.FIRST :]
+            rest = rest[bound[rest] > least + 1e-12]
+            if len(rest):
+                score = score + self._opened(terms, weights, rest, skip)
+        number = np.flatnonzero(score > 0)
+        number = number[np.argsort(-np.round(score[number], 12), kind="stable")[:k]]
+        return number, score[number]
+
+    FIRST = 4
+
+    def _opened(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray, skip: int) -> np.ndarray:
+        """Products of all examples, 0 outside the blocks."""
+        cell = terms[:, None] * self.blocks + blocks[None, :]
+        lo = self.begin[cell.ravel()].astype(np.int64)
+        size = self.begin[cell.ravel() + 1] - lo
+        posting = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        per_term = size.reshape(cell.shape).sum(1)
+        score = np.bincount(self.example[posting], weights=np.repeat(weights, per_term) * self.weight[posting], minlength=self.n)
+        if skip >= 0:
+            score[skip] = 0
+        return score
 
 
 @dataclass
@@ -165,6 +173,7 @@ def fit(
     max_examples: int = MAX_EXAMPLES,
     neighbours: int = 10,
     min_ratio: float | None = None,
+    min_lift: float = 20.0,
 ) -> Model | None:
     """Learns from ``labels`` (id_col, label_col 0/1; one of several labels of an id wins by being larger).
 
@@ -201,7 +210,8 @@ def fit(
     cells = [(F.col("pos"), n * p / rows), (F.col("neg"), n * q / rows), (p - F.col("pos"), (rows - n) * p / rows), (q - F.col("neg"), (rows - n) * q / rows)]
     scored = staged(seen.withColumn("ratio", 2 * sum((part(o.cast("double"), e) for o, e in cells), F.lit(0.0))), "tox-terms")
     least = 2 * math.log(max(2, scored.count())) if min_ratio is None else min_ratio
-    chosen = scored.filter(F.col("ratio") > least).orderBy(F.desc("ratio"), "term").limit(max_terms).toPandas()
+    often, seldom = (F.col("pos") + 0.5) / (positive + 1.0), (F.col("neg") + 0.5) / (rows - positive + 1.0)
+    chosen = scored.filter((F.col("ratio") > least) & (often / seldom >= min_lift)).orderBy(F.desc("ratio"), "term").limit(max_terms).toPandas()
     vocabulary = np.sort(chosen["term"].to_numpy(np.int64).view(np.uint64))
 
     def frequency(parts):
