@@ -5,6 +5,507 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.expansion import expand_query
+from ..operators import audit, etl, evaluate, gold, retrieval, semantic
+from . import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under ``name`` with its SQL."""
+
+    def put(f):
+        QUERIES[name] = lambda spark, sf_dir: S.plain(f(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+# --- retrieval
+
+
+@query("x1_bm25_top10", f"WITH {S.SQL_CORPUS}, {S.SQL_QUERIES}, {S.SQL_GRAMS}, {S.sql_bm25('b', 'q')} SELECT qid, rank, row_idx, score FROM b")
+def _(spark, sf):
+    return retrieval.bm25(S.corpus(spark, sf), S.questions(spark, sf)).select("qid", "rank", "row_idx", "score")
+
+
+@query("x2_like_top10", f"WITH {S.SQL_CORPUS}, {S.SQL_QUERIES}, {S.sql_like('l')} SELECT qid, rank, row_idx, position FROM l")
+def _(spark, sf):
+    return retrieval.like(S.corpus(spark, sf), S.questions(spark, sf)).select("qid", "rank", "row_idx", "position")
+
+
+@query("x3_channels", f"WITH {S.sql_channels()} SELECT qid, channel, weight::DOUBLE AS weight, rank, row_idx FROM ch")
+def _(spark, sf):
+    return retrieval.channels(S.corpus(spark, sf), S.questions(spark, sf), S.SYNONYMS)
+
+
+@query("x4_rrf_hybrid", f"WITH {S.sql_channels()} SELECT qid, rank, row_idx, score, channels FROM f WHERE rank <= 20")
+def _(spark, sf):
+    fused = retrieval.rrf(retrieval.channels(S.corpus(spark, sf), S.questions(spark, sf), S.SYNONYMS), 20)
+    return fused.select("qid", "rank", "row_idx", "score", F.array_join("channels", ",").alias("channels"))
+
+
+def _pool(spark, sf):
+    """A stand-in pool: rows 0..49 in falling order for every question."""
+    d = S.corpus(spark, sf).filter("row_idx < 50").select("row_idx", (50 - F.col("row_idx")).cast("int").alias("rank"))
+    return d.crossJoin(F.broadcast(S.questions(spark, sf).select("qid").limit(1000)))  # bounded by the limit
+
+
+@query(
+    "x5_recall_with_trace",
+    f"""WITH {S.sql_channels()}, gate AS (SELECT DISTINCT qid FROM l),
+p AS (SELECT qid, row_idx, row_number() OVER (PARTITION BY qid ORDER BY row_idx DESC) AS place FROM (SELECT qid, row_idx FROM q CROSS JOIN c WHERE row_idx < 50) z
+  WHERE qid NOT IN (SELECT qid FROM gate) AND NOT EXISTS (SELECT 1 FROM f WHERE f.qid = z.qid AND f.row_idx = z.row_idx)),
+n AS (SELECT qid, max(rank) AS n FROM f GROUP BY qid)
+SELECT qid, rank, row_idx, score, channels FROM f
+UNION ALL SELECT qid, place + coalesce(n, 0), row_idx, 0.0::DOUBLE, 'semantic' FROM p LEFT JOIN n USING (qid)""",
+)
+def _(spark, sf):
+    hybrid = retrieval.Hybrid(S.corpus(spark, sf), S.SYNONYMS, _pool(spark, sf))
+    out = hybrid.recall_with_trace(S.questions(spark, sf))
+    return out.select("qid", "rank", "row_idx", "score", F.array_join("channels", ",").alias("channels"))
+
+
+@query(
+    "x6_search_citations",
+    f"""WITH {S.sql_channels()} SELECT qid, rank, doc_id AS id, source AS law, lang AS num, md5(d.text) AS text_md5, round(score, 6) AS score, 'hybrid' AS retriever
+FROM f JOIN documents d ON d.doc_id = f.row_idx WHERE rank <= 5""",
+)
+def _(spark, sf):
+    hits = retrieval.Hybrid(S.corpus(spark, sf), S.SYNONYMS).search(S.questions(spark, sf), 5)
+    return hits.select("qid", "rank", "id", "law", "num", F.md5(F.encode("text", "utf-8")).alias("text_md5"), "score", "retriever")
+
+
+@query(
+    "x11_parameter_scan",
+    f"WITH {S.SQL_CORPUS}, {S.SQL_GRAMS}, q AS (SELECT qid, query, v.b FROM (SELECT item_id AS qid, trim(regexp_replace(substr(text, 1, 20), '{S.WS}', ' ', 'g')) AS query FROM benchmark) CROSS JOIN (VALUES (0.75::DOUBLE), (0.6), (0.5), (0.0)) v(b)), {S.sql_bm25('p', 'q', 'b', 5, 'b')} SELECT b, qid, rank, row_idx, score FROM p",
+)
+def _(spark, sf):
+    return retrieval.parameter_scan(S.corpus(spark, sf), S.questions(spark, sf), [0.75, 0.6, 0.5, 0.0], 5).select("b", "qid", "rank", "row_idx", "score")
+
+
+@query(
+    "a1_index_stats",
+    f"WITH {S.SQL_CORPUS}, {S.SQL_GRAMS}, p AS (SELECT gram, row_idx, count(*) AS tf FROM dg GROUP BY ALL) SELECT (SELECT n FROM tt) AS n, (SELECT round(avg_dl, 6) FROM tt) AS avg_dl, count(*) AS postings, count(DISTINCT gram) AS grams, sum(tf)::BIGINT AS tokens FROM p",
+)
+def _(spark, sf):
+    index = retrieval.Index(S.corpus(spark, sf))
+    p = index.postings().groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    p = p.agg(F.sum("df").alias("postings"), F.count("*").alias("grams"), F.sum("tf").alias("tokens"))
+    return index.totals.select("n", F.round("avg_dl", 6).alias("avg_dl")).crossJoin(p)  # one row each
+
+
+@query("a2_gram_frequency_top", f"WITH {S.SQL_CORPUS}, {S.SQL_GRAMS} SELECT gram, count(DISTINCT row_idx) AS df FROM dg GROUP BY gram ORDER BY df DESC, gram LIMIT 100")
+def _(spark, sf):
+    return gold.gram_frequencies(S.corpus(spark, sf)).orderBy(F.desc("df"), "gram").limit(100)
+
+
+@query("p19_query_guard", f"SELECT conv_id, turn, substr(s, 1, 200) AS query, length(s) > 200 AS truncated, s = '' AS empty FROM (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '{S.WS}', ' ', 'g')) AS s FROM conversations)")
+def _(spark, sf):
+    q = S.read(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("qid"), F.col("text").alias("query"))
+    return retrieval.guarded(q).select("qid.conv_id", "qid.turn", "query", "truncated", "empty")
+
+
+@query("s22_query_source", "SELECT doc_id AS qid, substr(text, 1, 12) AS query FROM documents ORDER BY doc_id LIMIT 100")
+def _(spark, sf):
+    return S.corpus(spark, sf).select(F.col("row_idx").alias("qid"), F.substring("text", 1, 12).alias("query")).orderBy("qid").limit(100)
+
+
+# --- evaluation
+
+_HITS = f"""{S.sql_channels()}, {S.SQL_GOLD},
+h AS (SELECT z.qid, min(f.rank) AS hit FROM (SELECT DISTINCT qid FROM g) z LEFT JOIN g ON g.qid = z.qid LEFT JOIN f ON f.qid = g.qid AND f.row_idx = g.row_idx GROUP BY z.qid),
+hb AS (SELECT z.qid, min(b.rank) AS hit FROM (SELECT DISTINCT qid FROM g) z LEFT JOIN g ON g.qid = z.qid LEFT JOIN b ON b.qid = g.qid AND b.row_idx = g.row_idx GROUP BY z.qid)"""
+
+
+def _hits(spark, sf):
+    return evaluate.first_hits(S.gold(spark, sf), retrieval.Hybrid(S.corpus(spark, sf), S.SYNONYMS).recall_with_trace(S.questions(spark, sf)))
+
+
+def _bm25_hits(spark, sf):
+    return evaluate.first_hits(S.gold(spark, sf), retrieval.bm25(S.corpus(spark, sf), S.questions(spark, sf), 30))
+
+
+@query("a6_recall_mrr", f"WITH {_HITS} SELECT count(*) AS n, 5::BIGINT AS k, round(avg(CASE WHEN hit <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_k, round(avg(CASE WHEN hit <= 5 THEN 1.0::DOUBLE / hit ELSE 0 END), 6) AS mrr FROM h")
+def _(spark, sf):
+    return evaluate.recall_mrr(_hits(spark, sf))
+
+
+@query("a7_multi_k", f"WITH {_HITS} SELECT k, count(*) AS n, round(avg(CASE WHEN hit <= k THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_k, round(avg(CASE WHEN hit <= k THEN 1.0::DOUBLE / hit ELSE 0 END), 6) AS mrr FROM h CROSS JOIN (VALUES (5::BIGINT), (10), (20), (30)) v(k) GROUP BY k")
+def _(spark, sf):
+    return evaluate.multi_k(_hits(spark, sf))
+
+
+@query(
+    "a8_rank_histogram",
+    f"WITH {_HITS}, bk AS (SELECT CASE WHEN hit IS NULL OR hit > 30 THEN 'miss' WHEN hit = 1 THEN '1' WHEN hit <= 5 THEN '2-5' WHEN hit <= 10 THEN '6-10' ELSE '11-30' END AS bucket FROM h) SELECT v.bucket, count(bk.bucket) AS n FROM (VALUES ('1'), ('2-5'), ('6-10'), ('11-30'), ('miss')) v(bucket) LEFT JOIN bk ON bk.bucket = v.bucket GROUP BY v.bucket",
+)
+def _(spark, sf):
+    return evaluate.rank_histogram(_hits(spark, sf))
+
+
+@query("a9_rerank_metrics", "WITH " + _HITS + " SELECT " + ", ".join(f"round(avg(CASE WHEN hit <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS r{k}" for k in (1, 5, 10, 20, 30)) + ", round(avg(CASE WHEN hit <= 5 THEN 1.0::DOUBLE / hit ELSE 0 END), 6) AS mrr5, count(*) FILTER (hit IS NULL) AS miss_in_pool FROM h")
+def _(spark, sf):
+    return evaluate.rerank_metrics(_hits(spark, sf))
+
+
+@query("a10_rescues", f"WITH {_HITS} SELECT count(*) FILTER (NOT coalesce(hb.hit <= 5, false) AND coalesce(h.hit <= 5, false)) AS rescued, count(*) FILTER (coalesce(hb.hit <= 5, false) AND NOT coalesce(h.hit <= 5, false)) AS demoted FROM hb JOIN h USING (qid)")
+def _(spark, sf):
+    return evaluate.rescues(_bm25_hits(spark, sf), _hits(spark, sf))
+
+
+@query("a11_latency", "WITH s AS (SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, list_sort(list(value)) AS v FROM events GROUP BY event_type) SELECT event_type, n, mean, median, v[least(floor(n * 0.95)::INT, n::INT - 1) + 1] AS p95, v[greatest(least(round_even(0.5 * n + 0.5, 0)::INT - 1, n::INT - 1), 0) + 1] AS rank_p50, v[greatest(least(round_even(0.99 * n + 0.5, 0)::INT - 1, n::INT - 1), 0) + 1] AS rank_p99 FROM s")
+def _(spark, sf):
+    return evaluate.latency(S.read(spark, sf, "events"), "value", "event_type")
+
+
+# --- gates, audit, coverage
+
+
+@query("p2_import_classes", f"WITH s AS (SELECT regexp_replace(coalesce(text, ''), '^{S.WS}|{S.WS}$', '', 'g') AS t FROM documents) SELECT CASE WHEN t = '' THEN 'empty' WHEN contains(t, '(cid:') THEN 'cid' WHEN length(t) < 30 THEN 'short' ELSE 'imported' END AS status, count(*) AS n FROM s GROUP BY 1")
+def _(spark, sf):
+    return S.corpus(spark, sf).groupBy(etl.import_status(F.col("text")).alias("status")).agg(F.count("*").alias("n"))
+
+
+def _rows(spark, sf):
+    """Documents as audited rows; numbers run over all id ranges."""
+    none = F.lit(None).cast("string")
+    return S.corpus(spark, sf).withColumn("id", F.col("id") * 1000).withColumns({"source": none, "unit": none, "num_origin": F.when(F.col("row_idx") % 7 == 0, "x")})
+
+
+_FLAGS = f"""c AS (SELECT doc_id AS row_idx, doc_id * 1000 AS id, source AS law, lang AS num, coalesce(text, '') AS text, CASE WHEN doc_id % 7 = 0 THEN 'x' END AS num_origin, count(*) OVER (PARTITION BY source, lang) AS twice FROM documents),
+m AS (SELECT *, CASE WHEN id >= 980000 THEN 'flk' WHEN id >= 970000 THEN 'zhuma' WHEN id >= 900000 THEN 'docx' ELSE 'gazette' END AS origin,
+  list_sort(list_transform(list_filter(regexp_split_to_array(text, '{S.WS}'), lambda w: w <> ''), lambda w: length(w))) AS ls FROM c),
+k AS (SELECT *, len(ls) > 0 AND ls[len(ls) // 2 + 1] < 20 AND origin = 'gazette' AS narrow, contains(text, '{audit.FURNITURE}') OR regexp_matches(text, '{audit.PAGE_MARK}') AS furniture FROM m),
+fl AS (SELECT *, list_filter([CASE WHEN length(regexp_replace(text, '{S.WS}', '', 'g')) < 10 THEN 'empty-or-tiny' END, CASE WHEN length(text) > 2000 THEN 'very-long' END,
+  CASE WHEN num = '{audit.WHOLE}' THEN 'whole-document' END, CASE WHEN num_origin IS NOT NULL AND num_origin IS DISTINCT FROM num THEN 'num-mapped' END, CASE WHEN twice > 1 THEN 'dup-law-num' END,
+  CASE WHEN narrow AND furniture THEN 'polluted-interleave' END, CASE WHEN narrow AND NOT furniture THEN 'narrow-no-furniture' END], lambda x: x IS NOT NULL) AS flags FROM k)"""
+
+
+@query("p11_row_flags", f"WITH {_FLAGS} SELECT row_idx, origin, array_to_string(flags, ',') AS flags FROM fl")
+def _(spark, sf):
+    return audit.row_flags(_rows(spark, sf)).select("row_idx", "origin", F.array_join("flags", ",").alias("flags"))
+
+
+@query("a14_corpus_stats", f"WITH {_FLAGS} SELECT origin, count(*) AS rows, count(DISTINCT law) AS laws FROM fl GROUP BY origin")
+def _(spark, sf):
+    return audit.corpus_stats(audit.row_flags(_rows(spark, sf)))
+
+
+@query("a16_flag_counts", f"WITH {_FLAGS} SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM fl) GROUP BY flag")
+def _(spark, sf):
+    return audit.flag_counts(audit.row_flags(_rows(spark, sf)))
+
+
+@query("t8_problem_laws", f"WITH {_FLAGS} SELECT law, count(*) AS rows, sum(len(flags))::BIGINT AS flagged FROM fl GROUP BY law HAVING sum(len(flags)) > 0 ORDER BY flagged DESC, law LIMIT 20")
+def _(spark, sf):
+    return audit.problem_laws(audit.row_flags(_rows(spark, sf)))
+
+
+@query("a17_duplicate_pairs", "SELECT source AS law, lang AS num, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
+def _(spark, sf):
+    return audit.duplicate_pairs(S.corpus(spark, sf))
+
+
+@query("a18_law_directory", "SELECT source AS law, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS place FROM documents GROUP BY source")
+def _(spark, sf):
+    return audit.law_directory(S.corpus(spark, sf))
+
+
+@query("a15_coverage", "WITH t AS (SELECT DISTINCT 'src' || (p_partkey % 40) AS title FROM part) SELECT count(*) AS total, count(*) FILTER (title IN (SELECT source FROM documents)) AS covered, round(avg((title IN (SELECT source FROM documents))::INT), 6) AS rate FROM t")
+def _(spark, sf):
+    catalog = S.read(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.concat(F.lit("src"), F.col("p_partkey") % 40).alias("title"))
+    return audit.coverage_rate(audit.coverage(catalog, S.corpus(spark, sf)))
+
+
+@query("p14_page_blocks", "WITH r AS (SELECT source AS law, round(avg(CASE WHEN len(regexp_extract_all(coalesce(text, ''), '第[一二三四五六七八九十百千零〇]+条')) > 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS ratio FROM documents GROUP BY source) SELECT * FROM r WHERE ratio >= 0")
+def _(spark, sf):
+    return audit.page_blocks(S.corpus(spark, sf), 0.0)
+
+
+@query("m1_meta", "SELECT count(*) AS rows, count(DISTINCT source) AS laws, sum(length(text))::BIGINT AS chars FROM documents")
+def _(spark, sf):
+    return audit.meta(S.corpus(spark, sf))
+
+
+@query("m3_articles_of_law", "SELECT doc_id AS row_idx, doc_id AS id, source AS law, lang AS num, md5(text) AS text_md5 FROM documents WHERE source = 'src3' ORDER BY doc_id LIMIT 50")
+def _(spark, sf):
+    return audit.articles_of_law(S.corpus(spark, sf), "src3", 50).withColumn("text_md5", F.md5(F.encode("text", "utf-8"))).drop("text")
+
+
+@query("p4_article_gate", r"""WITH s AS (SELECT doc_id, coalesce(text, '') AS t, substr(coalesce(text, ''), 1, 2) AS num FROM documents WHERE length(text) > 0),
+r AS (SELECT doc_id, t, CASE WHEN length(t) < 6 THEN 'short' WHEN NOT starts_with(t, num) THEN 'number' WHEN length(t) >= 20 AND (length(t) - length(replace(t, ' ', ''))) / length(t)::DOUBLE > 0.065 THEN 'blanks'
+  WHEN instr('。；：！？”』）', right(t, 1)) = 0 THEN 'end' WHEN contains(t, '中华人民共和国最高人民法院公报') THEN 'furniture' END AS reason FROM s)
+SELECT doc_id, reason, coalesce(reason = 'end' AND regexp_matches(t, '[＝=×÷%％＋+]'), false) AS soft FROM r""")
+def _(spark, sf):
+    d = S.read(spark, sf, "documents").filter(F.length("text") > 0).select("doc_id", F.substring("text", 1, 2).alias("num"), "text")
+    return etl.gated(d).select("doc_id", "reason", "soft")
+
+
+# --- functions
+
+
+@query("f5_numerals", None)
+def _(spark, sf):
+    return spark.range(10000).select(F.col("id").alias("n"), T.chinese_numeral(F.col("id")).alias("numeral"), T.cn_to_int(T.chinese_numeral(F.col("id"))).alias("back"))
+
+
+@query("f1_gram_counts", f"WITH {S.SQL_CORPUS}, {S.SQL_GRAMS} SELECT row_idx, count(*) AS grams, count(DISTINCT gram) AS distinct_grams FROM dg GROUP BY row_idx")
+def _(spark, sf):
+    g = S.corpus(spark, sf).select("row_idx", F.explode(T.char_ngrams(F.col("text"))).alias("gram"))
+    return g.groupBy("row_idx", "gram").agg(F.count("*").alias("n")).groupBy("row_idx").agg(F.sum("n").alias("grams"), F.count("*").alias("distinct_grams"))
+
+
+@query("f7_expand_query", f"WITH {S.SQL_QUERIES}, {S.SQL_EXPANDED} SELECT qid, len(string_split(xq.query, ' ')) - len(string_split(q.query, ' ')) AS added, xq.query IS NOT NULL AS expanded FROM q LEFT JOIN xq USING (qid)")
+def _(spark, sf):
+    e = S.questions(spark, sf).withColumn("e", expand_query(F.col("query"), S.SYNONYMS))
+    grown = F.col("e") != F.col("query")
+    return e.select("qid", F.when(grown, F.size(F.split("e", " ")) - F.size(F.split("query", " "))).alias("added"), grown.alias("expanded"))
+
+
+@query("f12_normalize_title", f"SELECT page_id, regexp_replace(regexp_replace(url, '{S.WS}', '', 'g'), '^中华人民共和国', '') AS title, replace(regexp_replace(translate(regexp_replace(url, '(?s)\\.[^.]*$', ''), '（）', '()'), '[{S.WS[1:-2]}《》\"''“”、]', '', 'g'), '中华人民共和国', '') AS mirror FROM pages")
+def _(spark, sf):
+    return S.read(spark, sf, "pages").select("page_id", T.normalize_title(F.col("url")).alias("title"), T.mirror_key(F.col("url")).alias("mirror"))
+
+
+@query("a24_token_idf", "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(nfc_normalize(text)), '[a-z0-9]+')) AS token FROM documents WHERE lang = 'en') SELECT token, round(ln((SELECT count(*) FROM documents WHERE lang = 'en')::DOUBLE / count(*)), 6) AS idf FROM t GROUP BY token HAVING count(*) >= 20")
+def _(spark, sf):
+    d = S.read(spark, sf, "documents").filter("lang = 'en'")
+    t = d.select("doc_id", F.explode(F.array_distinct(T.char_tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter("n >= 20")
+    return t.crossJoin(d.agg(F.count("*").alias("_d"))).select("token", F.round(F.log(F.col("_d") / F.col("n")), 6).alias("idf"))  # one row
+
+
+# --- semantic ranks and reranking
+
+
+@query("r3_semantic_ranks", f"WITH {S.SQL_VECTORS} SELECT * FROM sr WHERE sem <= 50")
+def _(spark, sf):
+    return semantic.semantic_ranks(S.vectors(spark, sf), S.query_vectors(spark, sf), 50)
+
+
+_POOL = f"{S.SQL_VECTORS}, sp AS (SELECT * FROM (SELECT qid, row_idx, sem, round(1.0::DOUBLE / (60 + sem), 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY sem, row_idx) AS rank FROM sr) WHERE rank <= 50)"
+
+
+@query("r4_semantic_pool", f"WITH {_POOL} SELECT qid, rank, row_idx, score FROM sp")
+def _(spark, sf):
+    return semantic.semantic_pool(S.vectors(spark, sf), S.query_vectors(spark, sf))
+
+
+def _base(spark, sf):
+    """A ranking to rerank: for each query the rows of the next 30 numbers."""
+    q = S.query_vectors(spark, sf).select("qid").distinct()
+    d = q.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(30)))).withColumn("row_idx", F.col("qid") + F.col("rank") * 7)
+    return d.join(S.vectors(spark, sf).select("row_idx"), "row_idx", "left_semi")
+
+
+_BASE = "ba AS (SELECT qid, r AS rank, qid + r * 7 AS row_idx FROM (SELECT DISTINCT qid FROM qv) CROSS JOIN range(1, 31) t(r) WHERE qid + r * 7 IN (SELECT row_idx FROM v))"
+
+
+@query(
+    "r5_semantic_rerank",
+    f"""WITH {S.SQL_VECTORS}, {_BASE}, w AS (SELECT qid, max(sem) + 1 AS worst FROM sr GROUP BY qid),
+x AS (SELECT qid, ba.rank AS r0, row_idx, coalesce(sem, worst) AS semantic_rank, round(1.0::DOUBLE / (60 + ba.rank) + 2.0::DOUBLE / (60 + coalesce(sem, worst)), 9) AS rerank_score FROM ba LEFT JOIN sr USING (qid, row_idx) JOIN w USING (qid)),
+y AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, r0) AS fused FROM x),
+z AS (SELECT *, CASE WHEN fused <= 10 THEN row_number() OVER (PARTITION BY qid, fused <= 10 ORDER BY (row_idx * 37) % 101 DESC, fused) END AS cr FROM y),
+b AS (SELECT *, round(1.0::DOUBLE / (60 + fused) + 3.0::DOUBLE / (60 + cr), 9) AS blend FROM z)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY blend DESC NULLS LAST, fused) AS rank, row_idx, rerank_score, semantic_rank FROM b""",
+)
+def _(spark, sf):
+    base = _base(spark, sf)
+    cross = base.select("qid", "row_idx", ((F.col("row_idx") * 37) % 101).cast("double").alias("cross"))
+    return semantic.semantic_rerank(base, semantic.semantic_ranks(S.vectors(spark, sf), S.query_vectors(spark, sf)), cross)
+
+
+@query(
+    "r14_cosine_fusion",
+    f"""WITH {S.SQL_VECTORS}, {_BASE}, x AS (SELECT qid, ba.rank AS r0, row_idx, max(sim) AS cos FROM ba JOIN si USING (qid, row_idx) GROUP BY ALL),
+y AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, row_idx) AS s FROM x), z AS (SELECT *, round(1.0::DOUBLE / (60 + r0) + 0.05::DOUBLE * cos + 1.0::DOUBLE / (60 + s), 9) AS score FROM y)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, r0) AS rank, row_idx, score FROM z""",
+)
+def _(spark, sf):
+    return semantic.cosine_fusion(_base(spark, sf), semantic.similarities(S.vectors(spark, sf), S.query_vectors(spark, sf)), 0.05, 1.0)
+
+
+@query(
+    "r7_promote",
+    f"""WITH {S.SQL_VECTORS}, {_BASE}, n AS (SELECT qid, count(*) AS n FROM ba GROUP BY qid), a AS (SELECT qid, unnest([3, 1, 99, 3, 0, 7]) AS k, generate_subscripts([3, 1, 99, 3, 0, 7], 1) AS o FROM n WHERE qid % 40 = 0),
+p AS (SELECT qid, k, row_number() OVER (PARTITION BY qid ORDER BY min(o)) AS pick FROM a JOIN n USING (qid) WHERE k BETWEEN 1 AND n GROUP BY qid, k),
+d AS (SELECT qid, row_idx, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r0 FROM ba)
+SELECT d.qid, row_number() OVER (PARTITION BY d.qid ORDER BY pick NULLS LAST, r0) AS rank, row_idx FROM d LEFT JOIN p ON p.qid = d.qid AND p.k = d.r0""",
+)
+def _(spark, sf):
+    base = retrieval.ranked(_base(spark, sf).withColumnRenamed("rank", "_r"), [F.col("_r")], None)
+    answers = base.select("qid").distinct().filter("qid % 40 = 0").withColumn("answer", F.lit("I choose [3, 1, 99, 3, 0, 7] here"))
+    return semantic.promote(base, semantic.pick_numbers(answers))
+
+
+@query(
+    "r8_judge_rerank",
+    f"""WITH {S.SQL_VECTORS}, {_BASE}, s AS (SELECT qid, row_idx, round((row_idx * 13 % 17) / 17.0::DOUBLE, 6) AS p FROM ba WHERE row_idx % 3 <> 0)
+SELECT ba.qid, row_number() OVER (PARTITION BY ba.qid ORDER BY CASE WHEN ba.qid IN (SELECT qid FROM s) THEN coalesce(p, 0) END DESC NULLS LAST, ba.rank) AS rank, ba.row_idx, coalesce(p, 0)::DOUBLE AS jev_score FROM ba LEFT JOIN s USING (qid, row_idx)""",
+)
+def _(spark, sf):
+    base = _base(spark, sf)
+    scores = base.filter("row_idx % 3 <> 0").select("qid", "row_idx", F.round((F.col("row_idx") * 13 % 17) / 17.0, 6).alias("jev_score"))
+    return semantic.judge_rerank(base, scores)
+
+
+# --- gold sets
+
+
+@query("g1_candidate_phrases", f"""WITH {S.SQL_CORPUS}, {S.SQL_GRAMS}, fr AS (SELECT gram, count(DISTINCT row_idx) AS df FROM dg GROUP BY gram),
+ph AS (SELECT DISTINCT row_idx, phrase FROM (SELECT row_idx, unnest(list_transform(range(1, len(ch) - 4), lambda i: array_to_string(ch[i:i + 5], ''))) AS phrase FROM (SELECT row_idx, regexp_extract_all(substr(sq, 1, 120), '(?s).') AS ch FROM c) WHERE len(ch) >= 6)),
+pg AS (SELECT phrase, substr(phrase, i::INT, 2) AS gram FROM (SELECT DISTINCT phrase FROM ph) CROSS JOIN range(1, 6) t(i)),
+sc AS (SELECT phrase, round(avg(ln(((SELECT count(*) FROM c) + 1.0::DOUBLE) / (coalesce(df, 0) + 1.0::DOUBLE))), 6) AS idf FROM pg LEFT JOIN fr USING (gram) GROUP BY phrase)
+SELECT row_idx, rank, phrase, idf FROM (SELECT row_idx, phrase, idf, row_number() OVER (PARTITION BY row_idx ORDER BY idf DESC, phrase) AS rank FROM ph JOIN sc USING (phrase)) WHERE rank <= 3""")
+def _(spark, sf):
+    rows = S.corpus(spark, sf)
+    heads = rows.withColumn("text", F.substring(T.squeeze(F.col("text")), 1, 120))
+    return gold.candidate_phrases(heads, gold.gram_frequencies(rows), rows.count(), 3)
+
+
+@query("g4_make_gold", None)
+def _(spark, sf):
+    rows = S.corpus(spark, sf)
+    return gold.make_gold(rows.withColumn("text", F.substring("text", 1, 200)), 50)
+
+
+@query("g5_anchored_gold", """WITH s AS (SELECT item_id AS qid, [substr(text, 1, 60), substr(text, 1, 25)] AS anchors, CASE WHEN item_id % 2 = 0 THEN 'en' END AS prefer FROM benchmark),
+t AS (SELECT qid, prefer, unnest(anchors) AS anchor, generate_subscripts(anchors, 1) AS pos FROM s),
+h AS (SELECT qid, doc_id, anchor, pos, min(pos) OVER (PARTITION BY qid) AS first, coalesce(lang = prefer, false) AS pref, (instr(text, anchor) - 1) / length(text)::DOUBLE AS ratio FROM documents JOIN t ON instr(text, anchor) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pref DESC, ratio, doc_id) AS r FROM h WHERE pos = first)
+SELECT qid, array_to_string(list(doc_id ORDER BY r), ',') AS gold_ids, min(anchor) AS evidence FROM r WHERE r <= 3 GROUP BY qid""")
+def _(spark, sf):
+    b = S.read(spark, sf, "benchmark")
+    specs = b.select(F.col("item_id").alias("qid"), F.array(F.substring("text", 1, 60), F.substring("text", 1, 25)).alias("anchors"), F.when(F.col("item_id") % 2 == 0, "en").alias("prefer_num"))
+    return gold.anchored_gold(S.corpus(spark, sf), specs).select("qid", F.array_join(F.transform("gold_ids", lambda x: x.cast("string")), ",").alias("gold_ids"), "evidence")
+
+
+@query("g6_check_gold", """WITH g AS (SELECT item_id AS qid, item_id * 40 AS id, 'src' || (item_id % 25) AS law, CASE WHEN item_id % 3 = 0 THEN 'xx' ELSE 'en' END AS num, substr(text, 1, 30) AS ev FROM benchmark),
+d AS (SELECT doc_id AS id, source AS law, lang AS num, text FROM documents),
+o AS (SELECT DISTINCT qid, d.law || ' ' || d.num AS pair FROM g JOIN d USING (id))
+SELECT qid, 'missing-id' AS kind, id::VARCHAR AS detail FROM g WHERE id NOT IN (SELECT id FROM d)
+UNION ALL SELECT qid, 'missing-law', law FROM g WHERE law NOT IN (SELECT law FROM d)
+UNION ALL SELECT qid, 'missing-num', law || ' ' || num FROM g WHERE law IN (SELECT law FROM d) AND (law, num) NOT IN (SELECT (law, num) FROM d)
+UNION ALL SELECT qid, 'pair-mismatch', pair FROM o WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.qid = o.qid AND g.law || ' ' || g.num = o.pair)
+UNION ALL SELECT g.qid, 'warn-evidence', '' FROM g JOIN d USING (id) WHERE NOT contains(regexp_replace(d.text, '""" + S.WS + "', '', 'g'), regexp_replace(g.ev, '" + S.WS + "', '', 'g'))")
+def _(spark, sf):
+    b = S.read(spark, sf, "benchmark")
+    law, num = F.concat(F.lit("src"), F.col("item_id") % 25), F.when(F.col("item_id") % 3 == 0, "xx").otherwise("en")
+    g = b.select(F.col("item_id").alias("qid"), F.array(F.col("item_id") * 40).alias("gold_ids"), F.array(F.concat_ws(" ", law, num)).alias("gold_laws"), F.substring("text", 1, 30).alias("evidence"))
+    return gold.check_gold(g, S.corpus(spark, sf))
+
+
+@query("c8_migrate_gold", """WITH f AS (SELECT source AS law, lang AS num, min(doc_id) AS id FROM documents GROUP BY ALL)
+SELECT item_id AS qid, id, coalesce(contains(regexp_replace(d.text, '""" + S.WS + "', '', 'g'), regexp_replace(substr(benchmark.text, 1, 30), '" + S.WS + """', '', 'g')), false) AS verified
+FROM benchmark LEFT JOIN f ON f.law = 'src' || (item_id % 25) AND f.num = 'en' LEFT JOIN documents d ON d.doc_id = f.id""")
+def _(spark, sf):
+    b = S.read(spark, sf, "benchmark")
+    g = b.select(F.col("item_id").alias("qid"), F.array(F.concat(F.lit("src"), F.col("item_id") % 25, F.lit(" en"))).alias("gold_laws"), F.substring("text", 1, 30).alias("evidence"))
+    return gold.migrate(g, S.corpus(spark, sf)).select("qid", F.get("gold_ids", F.lit(0)).alias("id"), "verified")
+
+
+@query("j10_map_external", """WITH a AS (SELECT item_id AS qid, 'src' || (item_id % 25) AS law, CASE WHEN item_id % 5 = 0 THEN 'xx' ELSE 'en' END AS num, 'src' || (item_id % 30) || ' fr' AS alt FROM benchmark),
+m AS (SELECT qid, list(doc_id ORDER BY doc_id) AS ids FROM a JOIN documents d ON d.source = a.law AND d.lang = a.num GROUP BY qid),
+x AS (SELECT qid, list(doc_id ORDER BY doc_id) AS ids FROM a JOIN documents d ON d.source || ' ' || d.lang = a.alt GROUP BY qid)
+SELECT a.qid, m.ids IS NOT NULL AS matched, CASE WHEN m.ids IS NOT NULL THEN array_to_string(m.ids || coalesce(x.ids, []), ',') END AS gold_ids, CASE WHEN m.ids IS NOT NULL AND x.ids IS NULL THEN alt ELSE '' END AS unmapped
+FROM a LEFT JOIN m USING (qid) LEFT JOIN x USING (qid)""")
+def _(spark, sf):
+    b = S.read(spark, sf, "benchmark")
+    items = b.select(F.col("item_id").alias("qid"), F.concat(F.lit("《src"), F.col("item_id") % 25, F.lit("》")).alias("expect_law"), F.when(F.col("item_id") % 5 == 0, "xx").otherwise("en").alias("expect_num"),
+                     F.array(F.concat(F.lit("src"), F.col("item_id") % 30, F.lit(" fr"))).alias("expect_alts"))
+    out = gold.map_external(items, S.corpus(spark, sf))
+    return out.select("qid", "matched", F.array_join(F.transform("gold_ids", lambda x: x.cast("string")), ",").alias("gold_ids"), F.array_join("unmapped_alts", ",").alias("unmapped"))
+
+
+# --- corpus building
+
+_LINES = "p AS (SELECT doc_id AS doc, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL))"
+#: In Spark and SQL: every third line of a document opens an article; numbers fall back at times.
+_LABELS = ["第一条", "第三条", "第二条", "第四条之一", "第一章", "一、"]
+
+
+def _labelled(spark, sf):
+    d = S.read(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    mark = F.get(F.array(*map(F.lit, _LABELS)), ((F.col("doc") + F.col("pos")) / 2).cast("int") % 6)
+    return d.select("doc", "pos", F.when((F.col("doc") + F.col("pos")) % 2 == 0, F.concat(mark, F.lit(" "), F.substring("line", 1, 8))).otherwise(F.substring("line", 1, 8)).alias("line"))
+
+
+_LABELLED = f"""{_LINES}, m AS (SELECT doc, pos - 1 AS pos, CASE WHEN (doc + pos - 1) % 2 = 0 THEN ({_LABELS})[((doc + pos - 1) // 2) % 6 + 1] || ' ' || substr(line, 1, 8) ELSE substr(line, 1, 8) END AS line FROM p),
+lb AS (SELECT *, CASE WHEN starts_with(line, '第一条') THEN 1 WHEN starts_with(line, '第三条') THEN 3 WHEN starts_with(line, '第二条') THEN 2 WHEN starts_with(line, '第四条') THEN 4 END AS n, contains(line, '条之') AS suffix FROM m),
+op AS (SELECT *, coalesce(CASE WHEN suffix THEN n >= before ELSE n > before END, false) AS opens FROM (SELECT *, coalesce(max(n) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lb)),
+sp AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS ord FROM op WHERE opens OR n IS NOT NULL OR NOT (starts_with(line, '第一章') OR starts_with(line, '一、'))),
+ar AS (SELECT doc, ord::BIGINT AS ord, max(CASE WHEN opens THEN CASE WHEN suffix THEN '第四条之一' ELSE substr(line, 1, 3) END END) AS num, string_agg(line, '' ORDER BY pos) AS text FROM sp WHERE ord > 0 GROUP BY doc, ord)"""
+
+
+@query("c1_split_articles", f"WITH {_LABELLED} SELECT doc, ord, num, md5(text) AS text_md5 FROM ar")
+def _(spark, sf):
+    return etl.split_articles(_labelled(spark, sf)).select("doc", "ord", "num", F.md5(F.encode("text", "utf-8")).alias("text_md5"))
+
+
+@query("a19_quality", f"""WITH {_LABELLED}, ga AS (SELECT *, length(text) - length(replace(text, ' ', '')) AS blanks FROM ar),
+k AS (SELECT *, CASE WHEN length(text) < 6 THEN 'short' WHEN length(text) >= 20 AND blanks / length(text)::DOUBLE > 0.065 THEN 'blanks' WHEN instr('。；：！？”』）', right(text, 1)) = 0 THEN 'end' END AS reason FROM ga),
+y AS (SELECT *, reason IS NULL OR (reason = 'end' AND regexp_matches(text, '[＝=×÷%％＋+]')) AS keep FROM k)
+SELECT t.doc, count(y.ord) AS arts, count(*) FILTER (keep) AS kept, count(*) FILTER (NOT keep) AS dropped FROM (SELECT DISTINCT doc FROM m) t LEFT JOIN y ON y.doc = t.doc GROUP BY t.doc""")
+def _(spark, sf):
+    lines = _labelled(spark, sf)
+    return etl.quality(etl.split_articles(lines), lines.groupBy("doc").agg(F.sum(F.length("line")).alias("chars"))).select("doc", "arts", "kept", "dropped")
+
+
+@query("c2_best_effort", None)
+def _(spark, sf):
+    return etl.best_effort_articles(_labelled(spark, sf)).groupBy("mode").agg(F.count("*").alias("units"), F.countDistinct("doc").alias("docs"))
+
+
+@query("c4_deinterleave", None)
+def _(spark, sf):
+    return etl.deinterleave(_labelled(spark, sf))
+
+
+@query("s14_html_paragraphs", r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', chr(10), 'g') AS t FROM pages),
+u AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&ldquo;', '“'), '&rdquo;', '”'), '&mdash;', '—') AS t FROM t),
+l AS (SELECT page_id, i, line FROM (SELECT page_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^""" + S.WS + "|" + S.WS + r"""$', '', 'g')), lambda x: x <> '') AS ls FROM u))),
+g AS (SELECT *, CASE WHEN length(line) <= 2 THEN coalesce(max(CASE WHEN length(line) > 2 THEN i END) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2 + 1 ELSE i * 2 END AS k FROM l),
+m AS (SELECT page_id, k, string_agg(line, '' ORDER BY i) AS line FROM g GROUP BY page_id, k)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, regexp_replace(replace(regexp_replace(line, '[\x{200b}\x{200c}\x{200d}\x{feff}]', '', 'g'), chr(160), ' '), '^""" + S.WS + "|" + S.WS + "$', '', 'g') AS line FROM m")
+def _(spark, sf):
+    return etl.html_paragraphs(S.read(spark, sf, "pages"))
+
+
+@query("p8_garbage_lines", None)
+def _(spark, sf):
+    d = etl.html_paragraphs(S.read(spark, sf, "pages"))
+    return d.groupBy(etl.is_garbage(F.col("line")).alias("garbage")).agg(F.count("*").alias("n"))
+
+
+@query("u1_merge_violations", """WITH b AS (SELECT doc_id AS id, source AS law, lang AS num, text FROM documents WHERE doc_id % 3 <> 0), f AS (SELECT doc_id - doc_id % 2 AS id, source AS law, lang AS num, text FROM documents WHERE doc_id % 3 = 0)
+SELECT * FROM (SELECT 'id-exists' AS kind, count(*) AS n FROM f WHERE id IN (SELECT id FROM b) UNION ALL SELECT 'id-repeated', count(*) FROM (SELECT id FROM f GROUP BY id HAVING count(*) > 1)
+UNION ALL SELECT 'pair-repeated', count(*) FROM (SELECT law, num FROM f GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'empty-text', count(*) FROM f WHERE regexp_replace(coalesce(text, ''), '""" + S.WS + """', '', 'g') = ''
+UNION ALL SELECT 'damaged-text', count(*) FROM f WHERE contains(text, '(cid:')) WHERE n > 0""")
+def _(spark, sf):
+    rows = S.corpus(spark, sf)
+    return etl.merge_violations(rows.filter("id % 3 <> 0"), rows.filter("id % 3 = 0").withColumn("id", F.col("id") - F.col("id") % 2))
+
+
+@query("u5_rebuild", """WITH r AS (SELECT source AS law, doc_id AS ord, lang AS num, text, doc_id % 2 AS priority FROM documents WHERE source IN ('src1', 'src2')),
+k AS (SELECT r.* FROM r JOIN (SELECT law, min(priority) AS priority FROM r GROUP BY law) USING (law, priority)), n AS (SELECT *, row_number() OVER (ORDER BY law, ord) AS n FROM k)
+SELECT doc_id AS row_idx, doc_id AS id, source AS law, lang AS num FROM documents WHERE source NOT IN ('src1', 'src2', 'src9')
+UNION ALL SELECT (SELECT max(doc_id) FROM documents) + n, 995000 + n, law, num FROM n""")
+def _(spark, sf):
+    rows = S.corpus(spark, sf)
+    new = rows.filter("law in ('src1', 'src2')").select("law", F.col("row_idx").alias("ord"), "num", "text", (F.col("row_idx") % 2).alias("priority"))
+    return etl.rebuild(rows, new, drop_laws=["src9"]).drop("text")
+
+
+@query("j1_raw_articles", "SELECT o_orderkey AS row_idx, o_orderkey AS id, c_name AS law, o_orderstatus AS num, coalesce(o_orderpriority, '') AS text FROM orders JOIN customer ON o_custkey = c_custkey")
+def _(spark, sf):
+    a = S.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("article_num"), F.col("o_orderpriority").alias("content"))
+    d = S.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
+    return etl.raw_articles(a, d)
