@@ -15,8 +15,8 @@ from pyspark.sql import SparkSession
 from loomline.plans import registry
 
 HEADLINE = [
-    "x1_bm25_top10", "x2_like_top10", "x4_rrf_hybrid", "x11_parameter_scan", "a7_multi_k", "a16_flag_counts", "r3_semantic_ranks",
-    "r5_semantic_rerank", "g5_anchored_gold", "c1_split_articles", "s14_html_paragraphs", "u5_rebuild",
+    "x1_bm25_top10", "x2_like_top10", "x4_rrf_hybrid", "a16_flag_counts", "r3_semantic_ranks", "r5_semantic_rerank",
+    "c1_split_articles", "s14_html_paragraphs", "u5_rebuild",
 ]
 
 

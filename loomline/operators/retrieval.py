@@ -84,16 +84,13 @@ def like(corpus: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame
 def channels(corpus: DataFrame, queries: DataFrame, synonyms: Synonyms, depth: int = DEPTH, expand_weight: float = EXPAND_WEIGHT, b: float = B) -> DataFrame:
     """qid, channel, weight, rank, row_idx of the bm25, expand and like rankings; expand only where expansion adds something."""
     grown = queries.select("qid", expand_query(F.col("query"), synonyms).alias("_e"), "query").filter(F.col("_e") != F.col("query"))
-    parts = [
-        ("bm25", 1.0, bm25(corpus, queries, depth, b=b)),
-        ("expand", expand_weight, bm25(corpus, grown.select("qid", F.col("_e").alias("query")), depth, b=b)),
-        ("like", 1.0, like(corpus, queries, depth)),
-    ]
-    out = None
-    for name, weight, hits in parts:
-        rows = hits.select("qid", F.lit(name).alias("channel"), F.lit(weight).alias("weight"), "rank", "row_idx")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    named = lambda d, name, text: d.select(F.struct("qid", F.lit(name).alias("channel")).alias("qid"), F.col(text).alias("query"))
+    # both sets of queries in one pass over the corpus
+    lexical = bm25(corpus, named(queries, "bm25", "query").unionByName(named(grown, "expand", "_e")), depth, b=b)
+    weight = F.when(F.col("qid.channel") == "expand", F.lit(float(expand_weight))).otherwise(1.0)
+    lexical = lexical.select("qid.qid", "qid.channel", weight.alias("weight"), "rank", "row_idx")
+    exact = like(corpus, queries, depth)
+    return lexical.unionByName(exact.select("qid", F.lit("like").alias("channel"), F.lit(1.0).alias("weight"), "rank", "row_idx"))
 
 
 def rrf(lists: DataFrame, k: int | None = None, constant: int = RRF_K) -> DataFrame:
