@@ -93,13 +93,13 @@ def pick_numbers(answers: DataFrame) -> DataFrame:
 
 
 def judge_rerank(hits: DataFrame, scores: DataFrame, seen: int = JUDGED) -> DataFrame:
-    """Typed judgement: scores (qid, row_idx, jev_score) of the first ``seen`` hits; a missing one counts 0, ties keep order, the rest follows."""
+    """Typed judgement: scores (qid, row_idx, judge_score) of the first ``seen`` hits; a missing one counts 0, ties keep order, the rest follows."""
     d = hits.select("qid", F.col("rank").alias("_in"), "row_idx").join(scores, ["qid", "row_idx"], "left")
     head = F.col("_in") <= seen
-    d = d.withColumn("jev_score", F.when(head, F.coalesce("jev_score", F.lit(0.0))))
+    d = d.withColumn("judge_score", F.when(head, F.coalesce("judge_score", F.lit(0.0))))
     judged = scores.select("qid").distinct().withColumn("_judged", F.lit(True))
-    d = d.join(judged, "qid", "left").withColumn("_key", F.when(F.col("_judged") & head, F.col("jev_score")))
-    return ranked(d, [F.desc_nulls_last("_key"), F.col("_in")], None).select("qid", "rank", "row_idx", "jev_score")
+    d = d.join(judged, "qid", "left").withColumn("_key", F.when(F.col("_judged") & head, F.col("judge_score")))
+    return ranked(d, [F.desc_nulls_last("_key"), F.col("_in")], None).select("qid", "rank", "row_idx", "judge_score")
 
 
 def model_scores(pairs: DataFrame, scorer: Callable[[], Callable[[list[str], list[str]], list[float]]], batch: int = 32) -> DataFrame:

@@ -349,11 +349,11 @@ def _(spark, sf):
 @query(
     "r8_judge_rerank",
     f"""WITH {S.SQL_VECTORS}, {_BASE}, s AS (SELECT qid, row_idx, round((row_idx * 13 % 17) / 17.0::DOUBLE, 6) AS p FROM ba WHERE row_idx % 3 <> 0)
-SELECT ba.qid, row_number() OVER (PARTITION BY ba.qid ORDER BY CASE WHEN ba.qid IN (SELECT qid FROM s) THEN coalesce(p, 0) END DESC NULLS LAST, ba.rank) AS rank, ba.row_idx, coalesce(p, 0)::DOUBLE AS jev_score FROM ba LEFT JOIN s USING (qid, row_idx)""",
+SELECT ba.qid, row_number() OVER (PARTITION BY ba.qid ORDER BY CASE WHEN ba.qid IN (SELECT qid FROM s) THEN coalesce(p, 0) END DESC NULLS LAST, ba.rank) AS rank, ba.row_idx, coalesce(p, 0)::DOUBLE AS judge_score FROM ba LEFT JOIN s USING (qid, row_idx)""",
 )
 def _(spark, sf):
     base = _base(spark, sf)
-    scores = base.filter("row_idx % 3 <> 0").select("qid", "row_idx", F.round((F.col("row_idx") * 13 % 17) / 17.0, 6).alias("jev_score"))
+    scores = base.filter("row_idx % 3 <> 0").select("qid", "row_idx", F.round((F.col("row_idx") * 13 % 17) / 17.0, 6).alias("judge_score"))
     return semantic.judge_rerank(base, scores)
 
 

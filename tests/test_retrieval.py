@@ -124,7 +124,7 @@ def test_judges(spark):
     answers = spark.createDataFrame([(1, "take [3, 1, 99, 3] or [2]"), (2, "nothing [x]")], "qid long, answer string")
     got = semantic.promote(hits, semantic.pick_numbers(answers)).orderBy("qid", "rank").collect()
     assert [r.row_idx for r in got] == [103, 101, 102, 104, 105, 7]
-    scores = spark.createDataFrame([(1, 100 + i, s) for i, s in ((1, 0.1), (2, 0.05), (3, 0.7), (4, 0.1), (5, 0.05))], "qid long, row_idx long, jev_score double")
+    scores = spark.createDataFrame([(1, 100 + i, s) for i, s in ((1, 0.1), (2, 0.05), (3, 0.7), (4, 0.1), (5, 0.05))], "qid long, row_idx long, judge_score double")
     assert [r.row_idx for r in semantic.judge_rerank(hits, scores).filter("qid = 1").orderBy("rank").collect()] == [103, 101, 104, 102, 105]
 
 
