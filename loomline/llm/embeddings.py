@@ -24,7 +24,7 @@ from ._graph import components
 from ._store import small_batches, staged
 
 #: Points sampled for centres, centres at most, aimed-at size of a region and of a shard, regions and shards of a point.
-SAMPLE, CENTRES, REGION, SHARD, OVERLAP = 16_384, 4_096, 2_048, 256, 3
+SAMPLE, CENTRES, REGION, SHARD, OVERLAP = 16_384, 4_096, 8_192, 256, 3
 #: Out-degree, candidates looked at, pruning slack, beam.
 DEGREE, CANDIDATES, ALPHA, BEAM = 16, 48, 1.2, 16
 
