@@ -14,9 +14,10 @@ Only connected components are asked for, so no bucket's pairs are all formed:
    often, the pair's similarity estimated from the registers, less the agreement
    expected by chance, and verified on both whole sets.
 2. Buckets left with more than one component are examined in full, but only
-   between components, large buckets in blocks: the best pair of each two
+   between components, large buckets in blocks, and without the documents that
+   have too many shingles of their own for a link: the best pair of each two
    components is verified, and then every remaining pair whose estimate is not
-   safely below the threshold.
+   safely below the threshold and whose sizes leave room for it.
 """
 
 from __future__ import annotations
@@ -142,12 +143,8 @@ def estimates(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return near.select("a", "b", "_na", "_nb", "_ra", "_rb").mapInPandas(run, "a long, b long, est double")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of document ids with 100 * intersection >= percent * union of their whole shingle sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = staged(ids, "dup-ids")
-    if ids.isEmpty():
-        return pairs.select("a", "b").limit(0)
+def whole_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, s: the whole shingle sets, as bytes, of the documents among ``ids``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -155,7 +152,16 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "s"])
 
     texts = IdFilter(ids, "id").apply(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(ids, "id", "left_semi")
-    sets = staged(texts.mapInArrow(run, "id long, s binary"), "dup-sets")
+    return staged(texts.mapInArrow(run, "id long, s binary"), "dup-sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of document ids with 100 * intersection >= percent * union of their whole shingle sets."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = staged(ids, "dup-ids")
+    if ids.isEmpty():
+        return pairs.select("a", "b").limit(0)
+    sets = whole_sets(ids, docs)
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -173,23 +179,39 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _between(members: DataFrame, buckets: DataFrame, classes: DataFrame, least: float, best_only: bool) -> DataFrame:
-    """Estimated pairs (a, b, est) between different components of the same bucket."""
+def _outward(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """rep, shared: how many shingles of a document other components hold too; only of documents that can still be linked.
+
+    A link to another component needs ``percent`` of a document's shingles to be
+    there. So a document with too many of its own can have none, whatever its
+    buckets hold, and no pair of it needs to be looked at.
+    """
+    own = placed.select("rep", "component").distinct().join(sets.filter(F.length("s") > 0).withColumnRenamed("id", "rep"), "rep")
+    pieces = F.transform(F.sequence(F.lit(0), (F.length("s") / 8).cast("int") - 1), lambda i: F.substring(F.col("s"), i * 8 + 1, F.lit(8)))
+    rows = own.select("rep", "component", (F.length("s") / 8).cast("long").alias("_n"), F.explode(pieces).alias("h"))
+    spread = rows.groupBy("h").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("h")
+    counts = rows.join(spread, "h", "left_semi").groupBy("rep", "_n").agg(F.count("*").alias("shared"))
+    return staged(counts.filter(F.col("shared") * 100 >= F.col("_n") * percent).groupBy("rep").agg(F.max("shared").alias("shared")), "dup-outward")
+
+
+def _between(members: DataFrame, buckets: DataFrame, classes: DataFrame, percent: int, least: float, best_only: bool) -> DataFrame:
+    """Estimated pairs (a, b, est) between different components of the same bucket; members: key, rep, component, shared."""
     held = members.join(buckets, "key")
-    few = held.filter(F.col("m") <= SMALL)
-    x = few.select("key", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    y = few.select("key", F.col("rep").alias("y"), F.col("component").alias("cy"))
-    pairs = x.join(y, "key").filter("cx < cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sized = held.filter(F.col("m") <= SMALL).join(classes.select("rep", "n"), "rep")
+    x = sized.select("key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("shared").alias("sx"), F.col("n").alias("nx"))
+    y = sized.select("key", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("shared").alias("sy"), F.col("n").alias("ny"))
+    most = F.least("sx", "sy")  # the intersection is no larger
+    pairs = x.join(y, "key").filter("cx < cy").filter(most * 100 >= (F.col("nx") + F.col("ny") - most) * percent).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     found = estimates(pairs, classes, least)
     many = held.filter(F.col("m") > SMALL).withColumn("nb", F.ceil(F.col("m") / BLOCK))
     if many.isEmpty():
         return found
     own = F.pmod(F.xxhash64("rep"), F.col("nb"))
     many = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    many = many.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
+    many = many.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "shared")
     many = many.join(classes.select("rep", "n", "registers"), "rep")
 
-    def run(_, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iat[0], pdf["j"].iat[0]
         left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
         p = np.frombuffer(b"".join(left["registers"]), np.uint16).reshape(-1, REGISTERS)
@@ -198,7 +220,9 @@ def _between(members: DataFrame, buckets: DataFrame, classes: DataFrame, least:
         for r in range(REGISTERS):
             same += p[:, r, None] == q[None, :, r]
         cp, cq = left["component"].to_numpy(), right["component"].to_numpy()
-        u, v = np.nonzero((same >= least * REGISTERS) & (cp[:, None] != cq[None, :]))
+        most = np.minimum(left["shared"].to_numpy()[:, None], right["shared"].to_numpy()[None, :])
+        union = left["n"].to_numpy()[:, None] + right["n"].to_numpy()[None, :] - most
+        u, v = np.nonzero((same >= least * REGISTERS) & (cp[:, None] != cq[None, :]) & (100 * most >= percent * union))
         est = same[u, v] / REGISTERS
         if i == j:
             u, v, est = u[u < v], v[u < v], est[u < v]
@@ -212,6 +236,12 @@ def _between(members: DataFrame, buckets: DataFrame, classes: DataFrame, least:
     return found.unionByName(blocks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "est"))
 
 
+def _open(placed: DataFrame) -> DataFrame:
+    """key, m: buckets that hold more than one component, and how many members they have."""
+    spread = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("m"))
+    return spread.filter("_lo <> _hi").select("key", "m")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), kept (doc_id = component_id): a row per row.
 
@@ -242,15 +272,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stars = staged(estimates(stars, classes, least), "dup-stars")
     links = staged(verified(stars, docs, percent), "dup-links")
 
+    sets = None
     for best_only in (True, False):
         labels = components(links)
         placed = members.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         placed = staged(placed.select("key", "rep", F.coalesce("component", "rep").alias("component")), "dup-placed")
-        open_ = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("m"))
-        open_ = staged(open_.filter("_lo <> _hi").select("key", "m"), "dup-open")
+        inside = placed.join(_open(placed).select("key"), "key", "left_semi")
+        inside = staged(inside, "dup-inside")
+        if inside.isEmpty():
+            break
+        if sets is None:
+            sets = whole_sets(staged(inside.select(F.col("rep").alias("id")).distinct(), "dup-ids"), docs)
+        inside = staged(inside.join(_outward(sets, inside, percent), "rep"), "dup-inside")
+        open_ = staged(_open(inside), "dup-open")
         if open_.isEmpty():
             break
-        found = _between(placed, open_, classes, least, best_only).select("a", "b").distinct()
+        found = _between(inside, open_, classes, percent, least, best_only).select("a", "b").distinct()
         found = staged(found.join(stars.select("a", "b").union(stars.select("b", "a")), ["a", "b"], "left_anti"), "dup-pairs")
         if best_only:
             stars = staged(stars.select("a", "b").union(found), "dup-tried")
