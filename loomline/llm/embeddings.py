@@ -1,14 +1,15 @@
-"""Near-duplicate vectors on a robust-pruned flat graph.
-
-Equal vectors of a label are one point. Points are dealt by the nearest centres,
-``OVERLAP`` of them, drawn from a bounded sample; each region of a centre is a
-task. Inside it, points form overlapping cluster shards of about ``SHARD``; in a
-shard every point links to candidates chosen by robust pruning (a candidate is
-dropped when an earlier choice is nearer to it, times ``ALPHA``, than the point
-is), and the adjacency lists of a point's shards are united to one flat graph. A
-query enters at the medoid of its nearest shard, walks greedily with a beam and,
-once inside its range, expands every neighbour within it. What it finds is
-verified by cosine in double precision. ``audit`` measures recall by brute force.
+"""Near-duplicate vectors by exact comparison of neighbouring cells.
+
+Equal vectors of a label are one point. A point's home is the cell of its nearest
+centre; centres are drawn from a bounded sample. It also visits every later cell
+that a vector within its range can lie in, so that any two linked points meet in
+exactly one cell, at home or as home and visitor. Cells too large for a task are
+cut into blocks, and blocks that can hold a link are compared by matrix products in
+double precision. A task gives a number of links and a link to a representative for each
+point, not its pairs. ``audit`` measures recall by brute force.
+
+``flat_graph`` and ``range_search`` are an approximate search in memory, which
+the query does not use: its links are to be whole.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._store import small_batches, staged
 
-#: Points sampled for centres, centres at most, aimed-at size of a region and of a shard, regions and shards of a point.
-SAMPLE, CENTRES, REGION, SHARD, OVERLAP = 16_384, 4_096, 8_192, 256, 3
+#: Points sampled for centres, centres at most, aimed-at size of a region and of a shard of the graph.
+SAMPLE, CENTRES, REGION, SHARD = 16_384, 4_096, 8_192, 256
+#: Products computed at once, rows dealt at once.
+CELLS, DEALT = 1 << 21, 4_096
 #: Out-degree, candidates looked at, pruning slack, beam.
 DEGREE, CANDIDATES, ALPHA, BEAM = 16, 48, 1.2, 16
 
@@ -123,12 +126,30 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], query: np.ndarray, entr
         n, s, opened = n[keep], s[keep], opened[keep]
 
 
-def _regions(points: DataFrame) -> DataFrame:
-    """Points with the region and, in a region too large for a task, the blocks (i, j) they belong to.
+def visits(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, whether it is the row's home) of unit vectors among centres.
+
+    A vector y whose cosine with x is ``least`` or more is nearer to centre k than to
+    x's own centre h only if x . (k - h) >= -sin(range) * |k - h|.
+    """
+    near = x @ c.T
+    home = near.argmax(1)
+    reach = np.sqrt(1 - least * least) if least > 0 else np.inf
+    square = (c * c).sum(1)
+    apart = np.sqrt(np.maximum(square[home][:, None] + square[None, :] - 2 * (c[home] @ c.T), 0))
+    touched = near - near[np.arange(len(x)), home][:, None] >= -reach * (apart + 1e-6) - 1e-6
+    touched &= np.arange(len(c))[None, :] > home[:, None]
+    touched[np.arange(len(x)), home] = True
+    row, cell = np.nonzero(touched)
+    return row, cell, cell == home[row]
+
+
+def _regions(points: DataFrame, least: float) -> DataFrame:
+    """Points with the region, their own block and the blocks (i, j) that meet in a task.
 
     Centres come from the SAMPLE points of smallest hash, CENTRES at most, by
-    label. Regions beyond four times REGION are cut by hash into blocks and every
-    two blocks meet in a task, so that no point is lost and no task unbounded.
+    label. A region's home points and its visitors are cut by hash into blocks of
+    about twice REGION at most; a home block meets every block, a visiting block the home blocks.
     """
     spark = points.sparkSession
     total = points.count()
@@ -143,41 +164,66 @@ def _regions(points: DataFrame) -> DataFrame:
         for pdf in parts:
             for (label, dim), own in pdf.assign(dim=pdf["v"].map(len)).groupby(["label", "dim"], sort=False):
                 c = shared.value.get((label, dim))
-                own = own.drop(columns="dim")
+                own = own.drop(columns=["dim", "label"])
                 if c is None:
-                    yield own.assign(region=f"{dim}:{label}")
+                    yield own.assign(region=f"{dim}:{label}", home=True)
                     continue
-                order = np.argsort(-(unit(own["v"]) @ c.T), axis=1, kind="stable")[:, :OVERLAP]
-                for k in range(order.shape[1]):
-                    yield own.assign(region=[f"{dim}:{j}:{label}" for j in order[:, k]])
-
-    dealt = staged(points.mapInPandas(deal, "point long, label string, v array<double>, region string"), "vec-regions")
-    sizes = dealt.groupBy("region").agg(F.ceil(F.count("*") / (2 * REGION)).alias("nb"))
-    sized = dealt.join(sizes.withColumn("nb", F.when(F.col("nb") <= 2, 1).otherwise(F.col("nb"))), "region")
-    own, other = F.pmod(F.xxhash64("point"), F.col("nb")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
-    sized = sized.withColumn("own", own).withColumn("other", other)
-    return sized.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "point", "v")
+                row, cell, home = visits(unit(own["v"]), c, least)
+                for lo in range(0, len(row), DEALT):
+                    at = slice(lo, lo + DEALT)
+                    yield own.iloc[row[at]].assign(region=[f"{dim}:{k}:{label}" for k in cell[at]], home=home[at])
+
+    dealt = staged(points.mapInPandas(deal, "point long, v array<double>, copies long, region string, home boolean"), "vec-regions")
+    blocks = lambda mine: F.ceil(F.count_if(mine) / (2 * REGION))
+    sizes = dealt.groupBy("region").agg(blocks(F.col("home")).alias("nh"), blocks(~F.col("home")).alias("nv"))
+    hashed = F.xxhash64("point")
+    own = F.when(F.col("home"), F.pmod(hashed, F.col("nh"))).otherwise(F.col("nh") + F.pmod(hashed, F.col("nv")))
+    last = F.when(F.col("home"), F.col("nh") + F.col("nv")).otherwise(F.col("nh")) - 1
+    # a region without home points has no link to give: its visitors have none to meet
+    sized = dealt.join(sizes.filter("nh > 0"), "region").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return sized.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "point", "v", "copies")
+
+
+def linked(raw: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (of ``left``, of ``right``) of rows, not the same row, whose cosine is ``least`` or more."""
+    raw = raw / np.abs(raw).max(1, keepdims=True)
+    norm = np.sqrt((raw * raw).sum(1))
+    x = raw / norm[:, None]
+    step = max(1, CELLS // max(1, len(right)))
+    for lo in range(0, len(left), step):
+        some = left[lo : lo + step]
+        s = x[some] @ x[right].T
+        a, b = np.nonzero(s >= least - 1e-9)
+        sure = s[a, b] > least + 1e-9
+        a, b = some[a], right[b]
+        edge = np.flatnonzero(~sure)
+        sure[edge] = [raw[i] @ raw[j] >= least * norm[i] * norm[j] for i, j in zip(a[edge], b[edge], strict=True)]
+        sure &= a != b
+        yield a[sure], b[sure]
 
 
 def _found(regions: DataFrame, least: float) -> DataFrame:
-    """Verified pairs (a, b), both ways."""
+    """(a, b, far) of points with links in a task: a representative of those linked with a there, rows linked with it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = np.stack([np.asarray(v, np.float64) for v in pdf["v"]])
-        raw = raw / np.abs(raw).max(1, keepdims=True)
-        square = np.sqrt((raw * raw).sum(1))
-        x, ids = raw / square[:, None], pdf["point"].to_numpy()
-        graph, medoids = flat_graph(x)
-        entry = medoids[(x @ x[medoids].T).argmax(1)]
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in range(len(x)):
-            hit = range_search(x, graph, x[i], entry[i], least - 1e-9)
-            hit = hit[(hit != i) & (raw[hit] @ raw[i] >= least * square[hit] * square[i])]
-            a.append(np.full(len(hit), ids[i]))
-            b.append(ids[hit])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return regions.groupBy("region", "i", "j").applyInPandas(run, "a long, b long")
+        ids, copies, own = pdf["point"].to_numpy(), pdf["copies"].to_numpy(), pdf["own"].to_numpy()
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        far, name = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for a, b in linked(raw, left, right, least):
+            far += np.bincount(a, weights=copies[b], minlength=len(ids)).astype(np.int64)
+            if i != j:  # within a block a pair is seen from both sides
+                far += np.bincount(b, weights=copies[a], minlength=len(ids)).astype(np.int64)
+            begin = np.flatnonzero(np.diff(a, prepend=-1))
+            for k, near in zip(a[begin].tolist(), np.split(b, begin[1:]), strict=True) if len(a) else ():
+                met = np.unique(np.append(name[near], name[k]))
+                if len(met) > 1:
+                    name[np.isin(name, met)] = met[0]
+        some = np.flatnonzero(far)
+        return pd.DataFrame({"a": ids[some], "b": ids[name[some]], "far": far[some]})
+
+    return regions.groupBy("region", "i", "j").applyInPandas(run, "a long, b long, far long")
 
 
 def near_duplicates(
@@ -197,10 +243,9 @@ def near_duplicates(
     groups = own.filter("usable").groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     # a point's number: its class, told apart even where ids repeat
     points = staged(groups.withColumn("point", F.xxhash64("label", F.to_json(F.col("v")), "first")), "vec-points")
-    links = staged(_found(_regions(points.select("point", "label", "v")), least).distinct(), "vec-links")
-    links = staged(links.union(links.select("b", "a")).distinct(), "vec-both")
-    far = links.join(points.select(F.col("point").alias("b"), "copies"), "b").groupBy(F.col("a").alias("point")).agg(F.sum("copies").alias("far"))
-    labels = components(links).withColumnRenamed("node", "point")
+    links = staged(_found(_regions(points.select("point", "label", "v", "copies"), least), least), "vec-links")
+    far = links.groupBy(F.col("a").alias("point")).agg(F.sum("far").alias("far"))
+    labels = components(links.select("a", "b")).withColumnRenamed("node", "point")
     placed = points.join(far, "point", "left").join(labels, "point", "left").withColumn("component", F.coalesce("component", "point"))
     smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     placed = placed.join(smallest, "component").select("label", "v", "component_id", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
@@ -210,7 +255,7 @@ def near_duplicates(
 
 
 def audit(vectors: DataFrame, *, least: float = 0.93, one_in: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> float:
-    """Share of the links of the vectors whose id is divisible by ``one_in``, by brute force in blocks, that the graph finds."""
+    """Share of the links of the vectors whose id is divisible by ``one_in``, by brute force in blocks, that are found."""
     own = clean(vectors, id_col, vec_col, label_col).filter("usable")
     queries = own.filter(F.col("vec_id") % one_in == 0).select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("v").alias("qv"))
     dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)

@@ -106,3 +106,23 @@ def test_flat_graph_reaches_every_near_vector(n):
         assert got <= near
         found, expected = found + len(got), expected + len(near)
     assert found >= 0.9 * expected
+
+
+def _all_pairs(x):
+    x = embeddings.unit(list(x))
+    return ((x @ x.T >= 0.93).sum(1) - 1).tolist()
+
+
+def _embedded(spark, x):
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    return sorted(embeddings.near_duplicates(df).collect(), key=lambda r: r.vec_id)
+
+
+@pytest.mark.parametrize("region", [8, 60])
+def test_hot_group_over_many_regions_keeps_every_link(spark, monkeypatch, region):
+    monkeypatch.setattr(embeddings, "REGION", region)
+    rng = np.random.default_rng(8)
+    hot = rng.normal(size=64) + 0.23 * rng.normal(size=(300, 64))  # most pairs are links, distinct, some are just not
+    got = _embedded(spark, np.concatenate([hot, rng.normal(size=(100, 64))]))
+    assert [r.n_links for r in got] == _all_pairs(hot) + [0] * 100
+    assert {r.component_id for r in got[:300]} == {0} and sum(r.kept for r in got) == 101
