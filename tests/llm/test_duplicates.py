@@ -126,3 +126,11 @@ def test_hot_group_over_many_regions_keeps_every_link(spark, monkeypatch, region
     got = _embedded(spark, np.concatenate([hot, rng.normal(size=(100, 64))]))
     assert [r.n_links for r in got] == _all_pairs(hot) + [0] * 100
     assert {r.component_id for r in got[:300]} == {0} and sum(r.kept for r in got) == 101
+
+
+def test_tight_groups_without_vectors_between_them(spark):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(8, 64)), 60, axis=0) + 0.05 * rng.normal(size=(480, 64))
+    got = _embedded(spark, x)
+    assert [r.n_links for r in got] == _all_pairs(x) == [59] * 480
+    assert [r.component_id for r in got] == [i - i % 60 for i in range(480)]
