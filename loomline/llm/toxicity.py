@@ -3,7 +3,7 @@
 Terms are words and their beginnings of 4 and 5 bytes, without closing
 punctuation, A-Z lower-cased. The vocabulary holds the terms whose presence goes
 with the label in a bounded sample of labelled documents (log-likelihood ratio
-over ``min_ratio``, and ``min_lift`` times as frequent with it as without); their document frequencies are counted over all documents.
+over ``min_ratio``, in either direction); their document frequencies are counted over all documents.
 A document's neighbours are the ``neighbours`` examples of largest cosine; votes
 weighted by cosine over distance give a raw score, which a monotone step function
 fitted on left-out examples turns into a probability. The neighbours' ids are the
@@ -173,7 +173,6 @@ def fit(
     max_examples: int = MAX_EXAMPLES,
     neighbours: int = 10,
     min_ratio: float | None = None,
-    min_lift: float = 20.0,
 ) -> Model | None:
     """Learns from ``labels`` (id_col, label_col 0/1; one of several labels of an id wins by being larger).
 
@@ -210,8 +209,7 @@ def fit(
     cells = [(F.col("pos"), n * p / rows), (F.col("neg"), n * q / rows), (p - F.col("pos"), (rows - n) * p / rows), (q - F.col("neg"), (rows - n) * q / rows)]
     scored = staged(seen.withColumn("ratio", 2 * sum((part(o.cast("double"), e) for o, e in cells), F.lit(0.0))), "tox-terms")
     least = 2 * math.log(max(2, scored.count())) if min_ratio is None else min_ratio
-    often, seldom = (F.col("pos") + 0.5) / (positive + 1.0), (F.col("neg") + 0.5) / (rows - positive + 1.0)
-    chosen = scored.filter((F.col("ratio") > least) & (often / seldom >= min_lift)).orderBy(F.desc("ratio"), "term").limit(max_terms).toPandas()
+    chosen = scored.filter(F.col("ratio") > least).orderBy(F.desc("ratio"), "term").limit(max_terms).toPandas()
     vocabulary = np.sort(chosen["term"].to_numpy(np.int64).view(np.uint64))
 
     def frequency(parts):

@@ -91,6 +91,14 @@ def test_toxicity_learns_and_scores_whole_texts(spark):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+def test_toxicity_uses_terms_of_small_lift(spark):
+    rng = np.random.default_rng(11)
+    docs = [(i, " ".join([*rng.choice([f"w{k}" for k in range(200)], 20), *["harsh"] * int(rng.random() < (0.6 if i % 5 == 0 else 0.06))]), "x") for i in range(500)]
+    df = spark.createDataFrame([*docs, (900, "quite harsh", "x")], "doc_id long, text string, score string")
+    model = toxicity.fit(df, spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(500)], "doc_id long, toxic int"))
+    assert toxicity.score(df.filter("doc_id = 900"), model).first().evidence
+
+
 def test_language(spark):
     rng = np.random.default_rng(3)
     kinds = {"aa": ["the", "thing", "wash", "ouch"], "bb": ["el", "niño", "qué", "ll"], "cc": ["der", "über", "schön", "ei"]}
