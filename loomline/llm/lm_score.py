@@ -1,97 +1,135 @@
 """Cross-entropy difference: documents scored by two matched n-gram models.
 
 A target model (texts labelled good) and a background model (all texts) share one
-vocabulary, the most frequent words of the whole corpus, with rarer words as one
-unknown word; both are interpolated bigram models of the same form. A document's
-score is its mean loss per token under the target model less that under the
-background model: the lower, the more it is like the target.
-
-Counts are gathered from every document by shuffles that grow with the input.
-What scoring needs is bounded: ``VOCABULARY`` unigrams, and bigrams of these after
-``CONTEXTS`` contexts, the most frequent words each on its own and all others as one.
+vocabulary, every word of the corpus and one unknown word; both are interpolated
+bigram models of the same form. A document's score is its mean loss per token under
+the target model less that under the background model: the lower, the more it is
+like the target.
+
+Counts of all words and of all bigrams are tables that grow with the input. Each
+bigram's losses are worked out once, by joins of these tables; documents are
+scored by joining their own, already counted bigrams with them. Losses are added as
+whole numbers of 2**-30 bits, so that the order of additions does not decide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import small_batches, staged
-from ._words import Words, batches
+from ._words import BASE, Words, batches, mix
 
-#: Words of the shared vocabulary, contexts, labelled rows that the target model reads at most.
-VOCABULARY, CONTEXTS, TARGET_ROWS = 8_192, 128, 20_000
-CELLS = CONTEXTS * (VOCABULARY + 1)
 #: Weight of the bigram estimate against the unigram one.
 BIGRAM = 0.6
-
-
-def _cell(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Place of a bigram's count; ids are ranks, so a context is one of the most frequent words or 0."""
-    return np.where(first < CONTEXTS, first, 0) * (VOCABULARY + 1) + second
-
-
-def word_ids(w: Words, words: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Number of each word in the vocabulary (sorted hashes and their ids); 0 is the unknown word."""
-    h = w.hashes()
-    if not len(words) or not len(h):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-    return np.where(words[at] == h, ids[at], 0)
+#: In place of a first word: the begin of a text, and a document's own row of counts.
+BEGIN, HEADER = 0, 1
+UNIT = 1 << 30
 
 
 @dataclass
 class Model:
-    """Counts of one model over the shared vocabulary."""
+    """Counts of one model; in memory, for small tables, only what is asked for. Word numbers follow the order of hashes; 0 is the unknown word."""
+
+    words: DataFrame  # w, n
+    grams: DataFrame  # f, w, n
 
-    unigram: np.ndarray  # VOCABULARY + 1
-    bigram: np.ndarray  # CELLS
+    @cached_property
+    def _words(self) -> pd.DataFrame:
+        return self.words.toPandas().sort_values("w")
 
-    def __post_init__(self):
-        self.after = self.bigram.reshape(CONTEXTS, -1).sum(1)
+    @cached_property
+    def unigram(self) -> np.ndarray:
+        return np.concatenate([[0.0], self._words["n"].to_numpy(float)])
+
+    @cached_property
+    def bigram(self) -> dict[tuple[int, int], float]:
+        number = {w: i + 1 for i, w in enumerate(self._words["w"].tolist())}
+        rows = self.grams.filter(F.col("f") != BEGIN).collect()
+        return {(number[r.f], number[r.w]): float(r.n) for r in rows}
 
     def losses(self, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """-log2 of each token's probability; the first token of a text has no predecessor."""
-        total = self.unigram.sum() + len(self.unigram)
-        p = (self.unigram[ids] + 1.0) / total
+        p = (self.unigram[ids] + 1.0) / (self.unigram.sum() + len(self.unigram))
+        if begins.all():
+            return -np.log2(p)
+        after = np.zeros(len(self.unigram))
+        for (first, _), n in self.bigram.items():
+            after[first] += n
         before = np.concatenate([[0], ids[:-1]])
-        after = self.after[np.where(before < CONTEXTS, before, 0)]
-        both = np.where(after > 0, self.bigram[_cell(before, ids)] / np.maximum(after, 1.0), p)
-        mixed = BIGRAM * both + (1 - BIGRAM) * p
-        return -np.log2(np.where(begins, p, mixed))
+        n = np.array([self.bigram.get(k, 0.0) for k in zip(before.tolist(), ids.tolist(), strict=True)])
+        both = np.where(after[before] > 0, n / np.maximum(after[before], 1.0), p)
+        return -np.log2(np.where(begins, p, BIGRAM * both + (1 - BIGRAM) * p))
+
 
+def _grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words]:
+    """(first word, second word, text) of every token; the first word of a text's first token is BEGIN."""
+    w = Words(texts)
+    h = np.maximum(w.hashes(), np.uint64(2))
+    f = np.concatenate([np.zeros(1, np.uint64), h[:-1]])[: len(h)]
+    f[w.first[w.count > 0]] = BEGIN
+    return f, h, w.doc, w
 
-def _starts(w: Words) -> np.ndarray:
-    out = np.zeros(len(w.doc), bool)
-    out[w.first[w.count > 0]] = True
-    return out
 
+def _key(f: np.ndarray, h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(f * BASE + mix(h))
 
-def _count_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Word counts, summed over a few MB of text before they leave the task."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+def _counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Bigram counts of all texts and of the good ones, summed over a few MB of text before they leave the task."""
+    held: list[tuple[np.ndarray, ...]] = []
 
     def out() -> pd.DataFrame:
-        h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+        f, h, good = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        return pd.DataFrame({"w": h.view(np.int64), "n": n})
+        _, at, to = np.unique(_key(f, h), return_index=True, return_inverse=True)
+        n, nt = np.bincount(to), np.bincount(to, weights=good).astype(np.int64)
+        return pd.DataFrame({"f": f[at].view(np.int64), "w": h[at].view(np.int64), "nb": n, "nt": nt})
 
     for pdf in parts:
-        texts = pdf["text"].tolist()
+        texts, good = pdf["text"].tolist(), pdf["good"].to_numpy(bool)
         for lo, hi in batches(texts):
-            held.append(np.unique(Words(texts[lo:hi]).hashes(), return_counts=True))
-        if sum(len(h) for h, _ in held) > 1 << 20:
+            f, h, doc, _ = _grams(texts[lo:hi])
+            held.append((f, h, good[lo:hi][doc]))
+        if sum(len(x[0]) for x in held) > 1 << 20:
             yield out()
     if held:
         yield out()
 
 
+def _bits(p: Column, n: Column, after: Column) -> Column:
+    """Loss in units; ``n`` and ``after`` are null where the gram or its first word was not seen."""
+    both = F.when(F.coalesce(after, F.lit(0)) > 0, F.coalesce(n, F.lit(0)) / after).otherwise(p)
+    mixed = F.when(F.col("f") == BEGIN, p).otherwise(BIGRAM * both + (1 - BIGRAM) * p)
+    return F.round(-F.log2(mixed) * UNIT).cast("long")
+
+
+@dataclass
+class Tables:
+    """The corpus counts: words (w, nb, nt), contexts (f, ab, at), grams (f, w, nb, nt)."""
+
+    docs: DataFrame
+    words: DataFrame
+    contexts: DataFrame
+    grams: DataFrame
+    totals: tuple[int, int, int]
+
+    def losses(self, grams: DataFrame) -> DataFrame:
+        """g (hash of both words), lt, lb of grams (f, w, nb, nt)."""
+        size, nb, nt = self.totals
+        words = self.words.select("w", F.col("nb").alias("ub"), F.col("nt").alias("ut"))
+        known = grams.join(words, "w", "left").join(self.contexts, "f", "left")
+        p = lambda n, total: (F.coalesce(F.col(n), F.lit(0)) + 1.0) / (total + size + 1.0)
+        return known.select(F.xxhash64("f", "w").alias("g"), _bits(p("ut", nt), F.col("nt"), F.col("at")).alias("lt"), _bits(p("ub", nb), F.col("nb"), F.col("ab")).alias("lb"))
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -99,47 +137,42 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
-    target_rows: int = TARGET_ROWS,
-) -> tuple[np.ndarray, np.ndarray, Model, Model]:
-    """(sorted word hashes, their ids, target model, background model).
+) -> tuple[Tables, None, Model, Model]:
+    """(counts, None, target model, background model).
 
-    Of the rows of ``labels`` with 1 in ``label_col`` the ``target_rows`` of smallest
-    hash train the target model; every document trains the background model.
+    All rows of ``labels`` with 1 in ``label_col`` train the target model; every
+    document trains the background model.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     own = docs.filter(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = own.select("text").mapInPandas(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "w").limit(VOCABULARY).toPandas()  # VOCABULARY rows
-    words = top["w"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    words, ids = words[order], order + 1
-
-    def count_grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        uni, bi = np.zeros(VOCABULARY + 1, np.int64), np.zeros(CELLS, np.int64)
-        for pdf in parts:
-            texts = pdf["text"].tolist()
-            for lo, hi in batches(texts):
-                w = Words(texts[lo:hi])
-                found = word_ids(w, words, ids)
-                uni += np.bincount(found, minlength=len(uni))
-                inner = np.flatnonzero(~_starts(w))
-                bi += np.bincount(_cell(found[inner - 1], found[inner]), minlength=CELLS)
-        for kind, table in ((0, uni), (1, bi)):
-            at = np.flatnonzero(table)
-            yield pd.DataFrame({"kind": np.full(len(at), kind, np.int32), "at": at.astype(np.int32), "n": table[at]})
-
-    def model(texts: DataFrame) -> Model:
-        rows = texts.select("text").mapInPandas(count_grams, "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas()
-        uni, bi = np.zeros(VOCABULARY + 1), np.zeros(CELLS)  # as many rows as these have cells
-        for table, kind in ((uni, 0), (bi, 1)):
-            part = rows[rows["kind"] == kind]
-            table[part["at"].to_numpy()] = part["n"].to_numpy()
-        return Model(uni, bi)
-
-    good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct()
-    good = staged(good.orderBy(F.xxhash64("id"), "id").limit(target_rows), "lm-target")  # its bound: target_rows ids
-    return words, ids, model(own.join(F.broadcast(good), "id", "left_semi")), model(own)
+    good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("id"), F.lit(True).alias("good")).distinct()
+    marked = own.join(good, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    grams = marked.mapInPandas(_counted, "f long, w long, nb long, nt long")
+    grams = staged(grams.groupBy("f", "w").agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt")), "lm-grams")
+    words = staged(grams.groupBy("w").agg(F.sum("nb").alias("nb"), F.sum("nt").alias("nt")), "lm-words")
+    contexts = staged(grams.filter(F.col("f") != BEGIN).groupBy("f").agg(F.sum("nb").alias("ab"), F.sum("nt").alias("at")), "lm-contexts")
+    size, nb, nt = words.agg(F.count("*"), F.coalesce(F.sum("nb"), F.lit(0)), F.coalesce(F.sum("nt"), F.lit(0))).first()
+    model = lambda n: Model(words.select("w", F.col(n).alias("n")), grams.filter(F.col(n) > 0).select("f", "w", F.col(n).alias("n")))
+    return Tables(docs, words, contexts, grams, (size, nb, nt)), None, model("nt"), model("nb")
+
+
+def _own_grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Bigram counts of each row, and a row of HEADER with its id and number of tokens."""
+    for pdf in parts:
+        texts, row = pdf["text"].tolist(), pdf["row"].to_numpy(np.int64)
+        for lo, hi in batches(texts):
+            f, h, doc, w = _grams(texts[lo:hi])
+            key = _key(f, h)
+            order = np.lexsort((key, doc))
+            f, h, doc, key = f[order], h[order], doc[order], key[order]
+            begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else np.empty(0, np.int64)
+            n = np.diff(np.append(begin, len(key)))
+            head = row[lo:hi]
+            yield pd.DataFrame({
+                "row": np.concatenate([row[lo:hi][doc[begin]], head]),
+                "f": np.concatenate([f[begin].view(np.int64), np.full(len(head), HEADER)]), "w": np.concatenate([h[begin].view(np.int64), head]),
+                "n": np.concatenate([n, w.count]), "id": pd.concat([pd.Series([pd.NA] * len(begin), dtype="Int64"), pdf["id"].iloc[lo:hi].astype("Int64")], ignore_index=True),
+            })
 
 
 def score(docs: DataFrame, fitted: tuple, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,25 +182,18 @@ def score(docs: DataFrame, fitted: tuple, *, id_col: str = "doc_id", text_col: s
     count, however long. Repeated rows score alike; an empty table gives no rows;
     other columns are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(fitted)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, ids, target, background = shared.value
-        for pdf in parts:
-            texts = pdf["text"].tolist()
-            out = [np.empty((0, 3))]
-            for lo, hi in batches(texts):
-                w = Words(texts[lo:hi])
-                found, begins = word_ids(w, words, ids), _starts(w)
-                t, b = (np.bincount(w.doc, weights=m.losses(found, begins), minlength=hi - lo) if len(found) else np.zeros(hi - lo) for m in (target, background))
-                out.append(np.stack([w.count, t, b], 1))
-            n, t, b = np.concatenate(out).T
-            with np.errstate(invalid="ignore", divide="ignore"):
-                t, b = t / n, b / n
-            yield pd.DataFrame({"doc_id": pdf["id"], "n_tokens": n.astype(np.int64), "target_loss": t, "background_loss": b, "score": t - b})
-
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scored = own.mapInPandas(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-    return scored.select("doc_id", "n_tokens", *(F.when(F.col("n_tokens") > 0, F.col(c)).alias(c) for c in ("target_loss", "background_loss", "score")))
+    small_batches(docs.sparkSession)
+    tables = fitted[0]
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    grams = own.mapInPandas(_own_grams, "row long, f long, w long, n long, id long")
+    known = tables.grams
+    if not docs.sameSemantics(tables.docs):  # bigrams that the corpus does not have
+        new = grams.filter(F.col("f") != HEADER).select("f", "w").distinct()
+        none = F.lit(None).cast("long")
+        known = known.unionByName(new.join(known.select("f", "w"), ["f", "w"], "left_anti").select("f", "w", none.alias("nb"), none.alias("nt")))
+    head = F.col("f") == HEADER
+    counted = grams.select("row", F.xxhash64("f", "w").alias("g"), F.when(head, F.col("n")).alias("tokens"), F.when(~head, F.col("n")).alias("n"), "id")
+    joined = counted.join(tables.losses(known), "g", "left")
+    sums = joined.groupBy("row").agg(F.max("id").alias("doc_id"), F.max("tokens").alias("n_tokens"), *(F.sum(F.col("n") * F.col(c)).alias(c) for c in ("lt", "lb")))
+    t, b = (F.when(F.col("n_tokens") > 0, F.col(c) / UNIT / F.col("n_tokens")) for c in ("lt", "lb"))
+    return sums.select("doc_id", "n_tokens", t.alias("target_loss"), b.alias("background_loss"), (t - b).alias("score"))

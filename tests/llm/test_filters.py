@@ -140,3 +140,36 @@ def test_lm_prefers_its_target(spark):
     ids = np.arange(len(target.unigram))
     assert abs((2.0 ** -target.losses(ids, np.ones(len(ids), bool))).sum() - 1) < 1e-9
     assert lm_score.score(df.limit(0), lm_score.fit(df.limit(0), labels)).collect() == []
+
+
+def test_lm_keeps_rare_words_and_contexts(spark):
+    """Against plain counts, with more words than any fixed vocabulary and bigrams after rare words."""
+    import math
+    from collections import Counter
+
+    rng = np.random.default_rng(12)
+    docs = [(i, " ".join(f"r{i}x{k} is v{rng.integers(50)}" for k in range(120)), "x") for i in range(100)]
+    df = spark.createDataFrame([*docs, (None, docs[3][1], "x"), (7, docs[7][1], "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    other = spark.createDataFrame([(900, "r1x1 is unheard of r2x5 r3x7", "x"), (901, None, "x")], df.schema)
+    fitted = lm_score.fit(df, labels)
+    everything = [r.text.split() for r in df.collect()]
+    good = [t.split() for i, t, _ in docs if i < 60 and i % 2] + [docs[7][1].split()]
+    size = len({w for t in everything for w in t}) + 1
+
+    def loss(text, train):
+        uni, bi = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(t, t[1:]))
+        after = Counter(p for t in train for p in t[:-1])
+        total, n = 0.0, sum(uni.values())
+        for k, w in enumerate(text):
+            p = (uni[w] + 1) / (n + size)
+            if k:
+                p = 0.6 * (bi[text[k - 1], w] / after[text[k - 1]] if after[text[k - 1]] else p) + 0.4 * p
+            total -= math.log2(p)
+        return total / len(text)
+
+    got = {r.doc_id: r for r in lm_score.score(df, fitted).collect()} | {r.doc_id: r for r in lm_score.score(other, fitted).collect()}
+    assert len(lm_score.score(df, fitted).collect()) == 102 and got[901].score is None
+    for i, text in ((3, docs[3][1]), (None, docs[3][1]), (7, docs[7][1]), (98, docs[98][1]), (900, "r1x1 is unheard of r2x5 r3x7")):
+        t, b = loss(text.split(), good), loss(text.split(), everything)
+        assert abs(got[i].target_loss - t) < 1e-6 and abs(got[i].background_loss - b) < 1e-6 and abs(got[i].score - (t - b)) < 1e-6
