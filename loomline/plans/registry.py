@@ -431,12 +431,14 @@ _LINES = "p AS (SELECT doc_id AS doc, line, row_number() OVER (PARTITION BY doc_
 _LABELS = ["第一条", "第三条", "第二条", "第四条之一", "第一章", "一、"]
 
 
-def _labelled(spark, sf):
+def _labelled(spark, sf, line="line"):
+    """Lines of the documents, marked as articles; the two queries with SQL take ``line`` as that does, cut to 8 characters."""
     d = S.read(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     mark = F.get(F.array(*map(F.lit, _LABELS)), ((F.col("doc") + F.col("pos")) / 2).cast("int") % 6)
-    return d.select("doc", "pos", F.when((F.col("doc") + F.col("pos")) % 2 == 0, F.concat(mark, F.lit(" "), F.substring("line", 1, 8))).otherwise(F.substring("line", 1, 8)).alias("line"))
+    return d.select("doc", "pos", F.when((F.col("doc") + F.col("pos")) % 2 == 0, F.concat(mark, F.lit(" "), F.expr(line))).otherwise(F.expr(line)).alias("line"))
 
 
+_STUMP = "substring(line, 1, 8)"
 _LABELLED = f"""{_LINES}, m AS (SELECT doc, pos - 1 AS pos, CASE WHEN (doc + pos - 1) % 2 = 0 THEN ({_LABELS})[((doc + pos - 1) // 2) % 6 + 1] || ' ' || substr(line, 1, 8) ELSE substr(line, 1, 8) END AS line FROM p),
 lb AS (SELECT *, CASE WHEN starts_with(line, '第一条') THEN 1 WHEN starts_with(line, '第三条') THEN 3 WHEN starts_with(line, '第二条') THEN 2 WHEN starts_with(line, '第四条') THEN 4 END AS n, contains(line, '条之') AS suffix FROM m),
 op AS (SELECT *, coalesce(CASE WHEN suffix THEN n >= before ELSE n > before END, false) AS opens FROM (SELECT *, coalesce(max(n) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lb)),
@@ -446,7 +448,7 @@ ar AS (SELECT doc, ord::BIGINT AS ord, max(CASE WHEN opens THEN CASE WHEN suffix
 
 @query("c1_split_articles", f"WITH {_LABELLED} SELECT doc, ord, num, md5(text) AS text_md5 FROM ar")
 def _(spark, sf):
-    return etl.split_articles(_labelled(spark, sf)).select("doc", "ord", "num", F.md5(F.encode("text", "utf-8")).alias("text_md5"))
+    return etl.split_articles(_labelled(spark, sf, _STUMP)).select("doc", "ord", "num", F.md5(F.encode("text", "utf-8")).alias("text_md5"))
 
 
 @query("a19_quality", f"""WITH {_LABELLED}, ga AS (SELECT *, length(text) - length(replace(text, ' ', '')) AS blanks FROM ar),
@@ -454,7 +456,7 @@ k AS (SELECT *, CASE WHEN length(text) < 6 THEN 'short' WHEN length(text) >= 20
 y AS (SELECT *, reason IS NULL OR (reason = 'end' AND regexp_matches(text, '[＝=×÷%％＋+]')) AS keep FROM k)
 SELECT t.doc, count(y.ord) AS arts, count(*) FILTER (keep) AS kept, count(*) FILTER (NOT keep) AS dropped FROM (SELECT DISTINCT doc FROM m) t LEFT JOIN y ON y.doc = t.doc GROUP BY t.doc""")
 def _(spark, sf):
-    lines = _labelled(spark, sf)
+    lines = _labelled(spark, sf, _STUMP)
     return etl.quality(etl.split_articles(lines), lines.groupBy("doc").agg(F.sum(F.length("line")).alias("chars"))).select("doc", "arts", "kept", "dropped")
 
 

@@ -1,5 +1,6 @@
 """Registered queries on small tables of their own."""
 
+from loomline.operators import etl
 from loomline.plans import registry
 
 
@@ -18,3 +19,13 @@ def test_gold_reads_whole_texts(spark, tmp_path):
     got = {r.gold_id: r.query for r in registry.QUERIES["g4_make_gold"](spark, str(tmp_path)).collect()}
     assert 2 not in got and {0, 1, 3} == set(got)  # the third text's only phrase is in the fourth, after 200 characters
     assert all(sum(q in t for t in texts) == 1 for q in got.values())
+
+
+def test_lines_of_articles_are_whole(spark, tmp_path):
+    texts = ["a line that is longer than eight characters\nsecond line of the same text, whole\nthird", "一" * 40]
+    documents(spark, tmp_path, texts)
+    lines = registry._labelled(spark, str(tmp_path)).collect()
+    assert all(r.line.endswith(texts[r.doc].split("\n")[r.pos]) for r in lines)
+    got = {(r.doc, r.pos): r.line for r in registry.QUERIES["c4_deinterleave"](spark, str(tmp_path)).collect()}
+    want = etl.deinterleave(spark.createDataFrame([(r.doc, r.pos, r.line) for r in lines], "doc long, pos int, line string")).collect()
+    assert got == {(r.doc, r.pos): r.line for r in want}
