@@ -29,3 +29,10 @@ def test_lines_of_articles_are_whole(spark, tmp_path):
     got = {(r.doc, r.pos): r.line for r in registry.QUERIES["c4_deinterleave"](spark, str(tmp_path)).collect()}
     want = etl.deinterleave(spark.createDataFrame([(r.doc, r.pos, r.line) for r in lines], "doc long, pos int, line string")).collect()
     assert got == {(r.doc, r.pos): r.line for r in want}
+
+
+def test_every_question_has_the_pool(spark, tmp_path):
+    documents(spark, tmp_path, ["text"] * 3)
+    written(spark, tmp_path, "benchmark", [(i, f"question {i}") for i in range(1100)], "item_id long, text string")
+    pool = registry._pool(spark, str(tmp_path))
+    assert pool.count() == 3300 and pool.select("qid").distinct().count() == 1100
