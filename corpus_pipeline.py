@@ -1,7 +1,9 @@
 """A training-data pipeline over ``documents``: language, toxicity, near-duplicates, mixing, packing.
 
 A stage reads every row that its predecessor kept and decides on those rows
-alone; its rows are written as Parquet and read again by the next stage.
+alone; its rows are written as Parquet and read again by the next stage. Rows
+without an id are rows like any other: a stage gives each a number of its own for as
+long as it runs, so that none is taken for another.
 """
 
 from __future__ import annotations
@@ -21,6 +23,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_LANGUAGE = 0.5
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with numbers above all ids in place of null ids; staged, so that the numbers stay, if there are any."""
+    docs = docs.select(COLUMNS)
+    if docs.filter("doc_id is null").isEmpty():
+        return docs
+    most = docs.agg(F.max("doc_id")).first()[0] or 0
+    own = F.coalesce("doc_id", F.lit(most + 1) + F.monotonically_increasing_id())
+    return staged(docs.withColumn("_null", F.col("doc_id").isNull()).withColumn("doc_id", own), "pipeline-keyed")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """Null again in place of the numbers that ``_keyed`` gave."""
+    return docs.withColumn("doc_id", F.when(~F.col("_null"), F.col("doc_id"))).select(COLUMNS) if "_null" in docs.columns else docs.select(COLUMNS)
+
+
 def _flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents without those of ``ids`` (doc_id): a filter of fixed size finds the candidates, so that few texts are shuffled."""
     marked = IdFilter(ids, "doc_id").mark(docs, "doc_id", "_maybe")
@@ -30,31 +47,35 @@ def _flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those that no learned language explains."""
+    docs = _keyed(docs)
     found = language.predict(docs, language.fit(docs.filter(crc_mod("doc_id", 4) != 2)))
     bad = staged(found.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE)).select("doc_id").distinct(), "pipeline-und")
-    return _flagged(docs, bad).select(COLUMNS)
+    return _plain(_flagged(docs, bad))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents predicted toxic."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 3) != 1))
+    docs = _keyed(docs)
+    model = toxicity.fit(_plain(docs), table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 3) != 1))
     bad = staged(toxicity.score(docs, model).filter("predicted = 1").select("doc_id").distinct(), "pipeline-toxic")
-    return _flagged(docs, bad).select(COLUMNS)
+    return _plain(_flagged(docs, bad))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near-duplicates."""
+    """Keeps the document of smallest id of each group of near-duplicates, or any one of a group without ids; of rows of one id, one."""
+    docs = _keyed(docs)
     bad = staged(minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "pipeline-copies")
-    return _flagged(docs, bad).select(COLUMNS).dropDuplicates(["doc_id"])
+    return _plain(_flagged(docs, bad).dropDuplicates(["doc_id"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats whole documents as the mix takes them: taken / size times, a fraction being rounded up with that chance, by a hash of the id."""
+    docs = _keyed(docs)
     taken = mixing.mix(docs).taken().groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     u = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + u)).otherwise(0)
     times = staged(taken.select("doc_id", F.least(copies, F.lit(2)).cast("int").alias("_copies")).filter("_copies > 0"), "pipeline-copies")
-    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(COLUMNS)
+    return _plain(docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
