@@ -1,10 +1,11 @@
 """URL filters by a bit-parallel wildcard automaton.
 
-Every rule is a glob over the canonical form ``.host<US>path`` of a URL (US is
-U+001F): rule (host, path) is ``*.host<US>path*``. All globs are packed into one
-multiword Shift-And automaton: bit i is set when the pattern positions up to i
-match the characters read so far, a star keeps its bit set, and one shift, mask
-and carry per character advances every pattern for a whole batch of URLs.
+Every rule is a glob over the canonical bytes ``.host|path`` of a URL: rule (host,
+path) is ``*.host|path*``. The separator and the wildcard are the bytes FF and FE,
+which UTF-8 never uses, so that no host or path can hold either. All globs are packed
+into one multiword Shift-And automaton: bit i is set when the pattern positions up to
+i match the bytes read so far, a star keeps its bit set, and one shift, mask and carry
+per byte advances every pattern for a whole batch of URLs.
 """
 
 from __future__ import annotations
@@ -16,31 +17,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEP = "\x1f"
-_FOUND = "hit int"
+SEP, ANY = b"\xff", b"\xfe"
 
 
 class GlobAutomaton:
-    """Simulates all ``globs`` (literal characters and ``*``) at once over the UTF-8 bytes of texts."""
+    """Simulates all ``globs`` (literal bytes and the byte ``star``) at once over the bytes of texts."""
 
-    def __init__(self, globs: Sequence[str]):
+    def __init__(self, globs: Sequence[bytes], star: bytes = b"*"):
         chars: list[int] = []
         self.starts, self.ends, loops = [], [], []
         self.always: list[int] = []
         for k, g in enumerate(globs):
-            body = g.encode()
-            while b"**" in body:
-                body = body.replace(b"**", b"*")
-            if body in (b"", b"*"):
+            body = g
+            while star * 2 in body:
+                body = body.replace(star * 2, star)
+            if body in (b"", star):
                 self.always += [k] if body else []
                 self.starts.append(-1)
                 self.ends.append(-1)
                 continue
-            floating, open_end = body.startswith(b"*"), body.endswith(b"*")
-            body = body.strip(b"*")
+            floating, open_end = body.startswith(star), body.endswith(star)
+            body = body.strip(star)
             self.starts.append((len(chars), floating))
             for i, c in enumerate(body):
-                if c == 42:
+                if c == star[0]:
                     loops.append(len(chars) - 1)
                 else:
                     chars.append(c)
@@ -105,19 +105,26 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def canonical(host: str, path: str) -> bytes:
+    """The bytes that rules are matched with."""
+    return b"." + host.encode("utf-8", "surrogatepass") + SEP + path.encode("utf-8", "surrogatepass")
+
+
 def judge(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]],
     *,
     url_col: str = "url",
     default: str = "allow",
+    wildcards: bool = False,
     keep: Sequence[str] = ("page_id",),
 ) -> DataFrame:
     """``keep`` columns, host, path, rule (the longest fitting one, else null) and verdict.
 
     ``rules``: (verdict, host, path); a rule fits its host and all its subdomains
     if the URL's path starts with the rule's. Of two equally long rules the first
-    in the list wins.
+    in the list wins. A ``*`` in a rule stands for itself, or with ``wildcards`` for any
+    characters, host and path being kept apart.
 
     Null URLs and those without ``://``: empty host and path, no rule, ``default``.
     Long URLs are read to their end. Repeated rows are judged each; an empty table
@@ -125,19 +132,20 @@ def judge(
     """
     names = [h + p for _, h, p in rules]
     order = sorted(range(len(rules)), key=lambda k: (-len(names[k]), k))
-    automaton = GlobAutomaton([f"*.{h}{SEP}{p}*" for _, h, p in rules])
+    own = lambda h, p: canonical(h, p).replace(b"*", ANY) if wildcards else canonical(h, p)
+    automaton = GlobAutomaton([ANY + own(h, p) + ANY for _, h, p in rules], ANY)
 
     def hit(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for host, path in parts:
-            state = automaton.run([f".{h}{SEP}{p}".encode("utf-8", "replace") for h, p in zip(host, path, strict=True)])
+            state = automaton.run([canonical(h, p) for h, p in zip(host, path, strict=True)])
             out = np.full(len(host), -1, np.int32)
             for k in reversed(order):
                 out[automaton.matches(state, k)] = k
             yield pd.Series(out)
 
     hits = F.pandas_udf(hit, "int")
-    own = pages.select(*keep, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    found = own.withColumn("hit", hits("host", "path"))
+    pages = pages.select(*keep, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    found = pages.withColumn("hit", hits("host", "path"))
     pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("hit"))
     if not rules:
         return found.select(*keep, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
