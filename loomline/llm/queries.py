@@ -74,7 +74,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f W
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.fit(docs, table(spark, sf_dir, "labels")))
+    return lm_score.score(docs, table(spark, sf_dir, "labels"))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

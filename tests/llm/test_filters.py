@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from loomline.llm import language, lm_score, toxicity, url_rules
 from loomline.llm.toxicity import BlockMaxIndex
@@ -7,7 +8,10 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 URLS = [
     None, "", "no scheme", "http://a.net", "http://a.net/", "http://A.Example.NET/en/x", "http://example.net/enx", "https://xnet/", "ftp://u:p@b.example.com:80/de/?q#f",
     "https://example.com/de/", "http://x.org?a/fr/", "http://x.org/fr/" + "y" * 5000, "http://x.org/fr", "a://b://c.net/en/", "http://é.net/ü", "http://x.example.com/de/\n", "http://a.net/",
+    "http://a.com/x.net\x1f/y", "http://a.net\x1f/y", "http://a.com/.net\x1f/", "http://a\x1f/.org\x1f/fr/", "http://*.org/fr/*", "http://a.com/.org\xff/fr/", "http://a.net\x00/en/",
 ]
+_RNG = np.random.default_rng(7)
+URLS += ["".join(_RNG.choice(["http", "://", "a.", "net", "example.", "com", "org", "/", "en/", "de/", "fr/", "?", "#", "\x1f", ".", "*", "N", "é"], _RNG.integers(3, 14))) for _ in range(600)]
 
 
 def plain_rule(host, path):
@@ -30,6 +34,10 @@ def test_urls_equal_plain_rules(spark):
         assert (r.verdict, r.rule) == (found or ("allow", None)), url
     assert url_rules.judge(df.limit(0), RULES).collect() == []
     assert {r.verdict for r in url_rules.judge(df, []).collect()} == {"allow"}
+    stars = spark.createDataFrame([(1, "http://a.org/x*y"), (2, "http://a.org/xzy"), (3, "http://a.b/q.org/xzy")], "page_id long, url string")
+    rules = [("block", "org", "/x*y")]
+    assert [r.verdict for r in url_rules.judge(stars, rules).orderBy("page_id").collect()] == ["block", "allow", "allow"]
+    assert [r.verdict for r in url_rules.judge(stars, rules, wildcards=True).orderBy("page_id").collect()] == ["block", "block", "allow"]
 
 
 def test_automaton_equals_wildcards():
@@ -38,7 +46,7 @@ def test_automaton_equals_wildcards():
     rng = np.random.default_rng(0)
     globs = ["".join(rng.choice(list("ab*"), rng.integers(1, 9))) for _ in range(60)]
     texts = ["".join(rng.choice(list("ab"), rng.integers(0, 10))) for _ in range(200)]
-    a = url_rules.GlobAutomaton(globs)
+    a = url_rules.GlobAutomaton([g.encode() for g in globs])
     assert a.words > 1
     state = a.run([t.encode() for t in texts])
     for k, g in enumerate(globs):
@@ -132,44 +140,64 @@ def test_lm_prefers_its_target(spark):
     docs = [(i, " ".join(rng.choice(["good", "fine", "calm"] if i % 2 else ["bad", "junk", "spam"], 30)), "x") for i in range(60)]
     df = spark.createDataFrame([*docs, (900, None, "x"), (901, " ", "x"), (902, "good " * 300_000, "x")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
-    got = {r.doc_id: r for r in lm_score.score(df, lm_score.fit(df, labels)).collect()}
+    got = {r.doc_id: r for r in lm_score.score(df, labels).collect()}
     assert max(got[i].score for i in range(1, 60, 2)) < min(got[i].score for i in range(0, 60, 2))
     assert (got[900].n_tokens, got[900].score, got[901].score) == (0, None, None)
     assert got[902].n_tokens == 300_000
-    target = lm_score.fit(df, labels)[2]
-    ids = np.arange(len(target.unigram))
-    assert abs((2.0 ** -target.losses(ids, np.ones(len(ids), bool))).sum() - 1) < 1e-9
-    assert lm_score.score(df.limit(0), lm_score.fit(df.limit(0), labels)).collect() == []
+    assert lm_score.score(df.limit(0), labels).collect() == []
+    assert {r.score for r in lm_score.score(df, labels.limit(0)).collect()} == {0.0, None}
 
 
-def test_lm_keeps_rare_words_and_contexts(spark):
-    """Against plain counts, with more words than any fixed vocabulary and bigrams after rare words."""
+@pytest.mark.parametrize("batch", [1 << 20, 300])
+def test_lm_equals_plain_counts(spark, monkeypatch, batch):
+    """All words and bigrams count, a document's own are left out, and background counts are scaled to the target's size."""
     import math
     from collections import Counter
 
+    monkeypatch.setattr(lm_score, "TOKENS", batch)
+    monkeypatch.setattr(lm_score, "FEATURES", batch)
     rng = np.random.default_rng(12)
-    docs = [(i, " ".join(f"r{i}x{k} is v{rng.integers(50)}" for k in range(120)), "x") for i in range(100)]
-    df = spark.createDataFrame([*docs, (None, docs[3][1], "x"), (7, docs[7][1], "x")], "doc_id long, text string, score string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    docs = [(i, " ".join(f"r{i}x{k} is v{rng.integers(50)}" for k in range(40)), "x") for i in range(60)]
+    df = spark.createDataFrame([*docs, (None, docs[3][1], "x"), (7, docs[7][1], "x"), (70, "is", "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 1), (2, 0)], "doc_id long, quality int")
     other = spark.createDataFrame([(900, "r1x1 is unheard of r2x5 r3x7", "x"), (901, None, "x")], df.schema)
-    fitted = lm_score.fit(df, labels)
-    everything = [r.text.split() for r in df.collect()]
-    good = [t.split() for i, t, _ in docs if i < 60 and i % 2] + [docs[7][1].split()]
-    size = len({w for t in everything for w in t}) + 1
-
-    def loss(text, train):
-        uni, bi = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(t, t[1:]))
-        after = Counter(p for t in train for p in t[:-1])
-        total, n = 0.0, sum(uni.values())
+    rows = [(r.doc_id, r.text.split(), r.doc_id is not None and r.doc_id < 40 and r.doc_id % 2 == 1) for r in df.collect()]
+    words = len({w for _, t, _ in rows for w in t})
+
+    def loss(text, train, size):
+        uni, bi = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(t, t[1:], strict=False))
+        first = Counter(w for t in train for w in t[:-1])
+        scale = size / max(1, sum(uni.values()))
+        total = 0.0
         for k, w in enumerate(text):
-            p = (uni[w] + 1) / (n + size)
+            p = (uni[w] * scale + 0.1) / (sum(uni.values()) * scale + 0.1 * (words + 1))
             if k:
-                p = 0.6 * (bi[text[k - 1], w] / after[text[k - 1]] if after[text[k - 1]] else p) + 0.4 * p
+                p = (bi[text[k - 1], w] * scale + 4 * p) / (first[text[k - 1]] * scale + 4)
             total -= math.log2(p)
         return total / len(text)
 
-    got = {r.doc_id: r for r in lm_score.score(df, fitted).collect()} | {r.doc_id: r for r in lm_score.score(other, fitted).collect()}
-    assert len(lm_score.score(df, fitted).collect()) == 102 and got[901].score is None
-    for i, text in ((3, docs[3][1]), (None, docs[3][1]), (7, docs[7][1]), (98, docs[98][1]), (900, "r1x1 is unheard of r2x5 r3x7")):
-        t, b = loss(text.split(), good), loss(text.split(), everything)
-        assert abs(got[i].target_loss - t) < 1e-6 and abs(got[i].background_loss - b) < 1e-6 and abs(got[i].score - (t - b)) < 1e-6
+    got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss, r.score) for r in lm_score.score(df, labels).collect()), key=str)
+    true = []
+    for k, (i, t, _) in enumerate(rows):
+        rest = [x for j, x in enumerate(rows) if j != k]
+        good = [x for _, x, mark in rest if mark]
+        size = sum(map(len, good))
+        a, b = loss(t, good, size), loss(t, [x for _, x, _ in rest], size)
+        true.append((i, len(t), a, b, a - b))
+    for g, e in zip(got, sorted(true, key=str), strict=True):
+        assert g[:2] == e[:2] and np.allclose(g[2:], e[2:], atol=1e-6), (g, e)
+    found = {r.doc_id: r for r in lm_score.score(df, labels, others=other).collect()}
+    good = [t for _, t, mark in rows if mark]
+    size = sum(map(len, good))
+    text = "r1x1 is unheard of r2x5 r3x7".split()
+    assert set(found) == {900, 901} and found[901].score is None
+    assert abs(found[900].target_loss - loss(text, good, size)) < 1e-6
+    assert abs(found[900].background_loss - loss(text, [t for _, t, _ in rows], size)) < 1e-6
+
+
+def test_lm_packing_round_trip():
+    rng = np.random.default_rng(0)
+    for kind in (np.uint8, np.uint32, np.int64, np.uint64):
+        for n in (0, 1, 1000):
+            x = rng.integers(0, np.iinfo(kind).max, n, dtype=kind)
+            assert (lm_score.unpacked(lm_score.packed(x), kind) == x).all()
