@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import staged
@@ -36,32 +34,34 @@ def components(links: DataFrame) -> DataFrame:
 class IdFilter:
     """Bits of hashed ids: holds every id it was made of, and few others while it is not full.
 
-    Its size is fixed, so it can be broadcast at any scale; when most bits are set
-    it lets everything pass and what follows it is still exact.
+    Sixteen bits an id, from ``LEAST`` to ``MOST`` bits: its words are a table of at
+    most MOST / 64 rows, which is broadcast. Beyond some ``MOST`` / 4 ids it lets ever
+    more pass, and what follows it is still exact.
     """
 
-    BITS = 1 << 22
+    LEAST, MOST = 1 << 16, 1 << 26
 
     def __init__(self, ids: DataFrame, column: str):
-        spot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(self.BITS))
-        words = ids.groupBy((spot / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 32).cast("int"))).alias("v"))
-        found = words.toPandas()  # BITS / 32 rows at most
-        table = np.zeros(self.BITS // 32, np.uint32)
-        table[found["w"].to_numpy()] = found["v"].to_numpy().astype(np.uint32)
-        self.bits = np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+        count = ids.count()
+        self.bits = self.LEAST
+        while self.bits < min(16 * count, self.MOST):
+            self.bits *= 2
+        spot = self._spot(column)
+        self.words = ids.filter(F.col(column).isNotNull()).groupBy((spot / 64).cast("long").alias("_word")).agg(F.bit_or(self._bit(spot)).alias("_bits"))
 
-    def mark(self, df: DataFrame, column: str, name: str) -> DataFrame:
-        """``df`` with a boolean column: whether the id may be held. Null ids are not."""
-        packed = df.sparkSession.sparkContext.broadcast(np.packbits(self.bits))
-        n = self.BITS
+    def _spot(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(self.bits))
 
-        @F.pandas_udf("boolean")
-        def known(spot: pd.Series) -> pd.Series:
-            s = spot.to_numpy()
-            return pd.Series(packed.value[s >> 3] >> (7 - (s & 7)) & 1 == 1)
+    @staticmethod
+    def _bit(spot: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int"))
 
-        spot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(n)).cast("int")
-        return df.withColumn(name, F.col(column).isNotNull() & known(spot))
+    def mark(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """``df`` with a boolean column: whether the id may be held. Null ids are not."""
+        spot = self._spot(column)
+        held = df.withColumn("_word", (spot / 64).cast("long")).join(F.broadcast(self.words), "_word", "left")
+        found = F.col(column).isNotNull() & (F.coalesce("_bits", F.lit(0)).bitwiseAND(self._bit(spot)) != 0)
+        return held.withColumn(name, found).drop("_word", "_bits")
 
     def apply(self, df: DataFrame, column: str) -> DataFrame:
         return self.mark(df, column, "_held").filter("_held").drop("_held")

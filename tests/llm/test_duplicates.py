@@ -62,7 +62,7 @@ def test_estimate_follows_similarity():
             for _ in range(60):
                 h = np.unique(rng.integers(0, 2**64, 2 * n - common, dtype=np.uint64))
                 rng.shuffle(h)
-                a, b = minhash.registers(np.sort(h[:n])), minhash.registers(np.sort(h[n - common :]))
+                a, b = minhash.registers_of([np.sort(h[:n]), np.sort(h[n - common :])])
                 seen.append((a == b).mean())
             c = minhash.chance(np.array([n]), np.array([n]))[0]
             assert abs((np.mean(seen) - c) / (1 - c) - common / (2 * n - common)) < 0.06
