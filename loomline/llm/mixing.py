@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from ._store import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the white space after it, the first one also with that before it.
+PIECE = r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 CHUNK = 1024
 
 
@@ -69,6 +71,16 @@ def located(points: DataFrame, at: str, spans: DataFrame, lo: str, hi: str, widt
     return points.withColumn("_cell", (F.col(at) / width).cast("long")).join(cells, "_cell").filter(inside).drop("_cell")
 
 
+def running(df: DataFrame, key: str, at: str, value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of its ``key`` that lie before ``at`` (whole numbers), ``CHUNK`` of them to a group, then over groups."""
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_group", (F.col(at) / CHUNK).cast("long"))
+    groups = df.groupBy(key, "_group").agg(F.sum(value).alias("_sum"))
+    groups = groups.withColumn("_ahead", F.sum("_sum").over(before(key).orderBy("_group")) - F.col("_sum")).drop("_sum")
+    inside = df.withColumn("_behind", F.sum(value).over(before(key, "_group").orderBy(at)) - F.col(value))
+    return inside.join(groups, [key, "_group"]).withColumn(name, F.col("_ahead") + F.col("_behind")).drop("_group", "_ahead", "_behind")
+
+
 @dataclass
 class Mix:
     """sources: idx, source, source_size, weight, target, blocks, quota; docs: doc_id, idx, chunk, pos, size, start;
@@ -79,19 +91,46 @@ class Mix:
     slots: DataFrame
     block: int
 
+    def _held(self) -> DataFrame:
+        """``docs`` with a row per block that a document has words in, block, and times, how often the mix takes it (null: never)."""
+        n = self.block
+        picks = self.slots.groupBy("idx", "block").agg(F.count("*").alias("times"))
+        spread = F.when(F.col("size") > 0, F.sequence((F.col("start") / n).cast("long"), ((F.col("start") + F.col("size") - 1) / n).cast("long")))
+        return self.docs.withColumn("block", F.explode_outer(spread)).join(picks, ["idx", "block"], "left")
+
     def taken(self) -> DataFrame:
         """doc_id, size, source, source_size, target, taken: a row per document."""
         n = self.block
-        picks = self.slots.groupBy("idx", "block").agg(F.count("*").alias("_times"))
-        spread = F.when(F.col("size") > 0, F.sequence((F.col("start") / n).cast("long"), ((F.col("start") + F.col("size") - 1) / n).cast("long")))
-        parts = self.docs.withColumn("block", F.explode_outer(spread))
         shared = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * n) - F.greatest(F.col("start"), F.col("block") * n)
-        held = parts.join(picks, ["idx", "block"], "left").withColumn("_words", F.coalesce(shared * F.col("_times"), F.lit(0)).cast("long"))
+        held = self._held().withColumn("_words", F.coalesce(shared * F.col("times"), F.lit(0)).cast("long"))
         done = held.groupBy("doc_id", "idx", "chunk", "pos", "size").agg(F.sum("_words").alias("taken"))
         return done.join(self.sources.select("idx", "source", "source_size", "target"), "idx").select(
             "doc_id", "size", "source", "source_size", "target", "taken"
         )
 
+    def texts(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The words of the mix: the columns of ``docs``, and first (word), words, round.
+
+        A row per run of consecutive blocks that one round of the mix takes from a
+        document: a document taken whole is one row with its text as it is, and any
+        other row is the run's words with the white space between and after them. Ids
+        of ``docs``, those that were mixed, are unique and not null; columns of theirs
+        called like the three new ones are left out.
+        """
+        n = self.block
+        rounds = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
+        blocks = self._held().filter("times > 0").select("doc_id", "size", "start", "block", rounds.alias("round"))
+        whole = blocks.groupBy("doc_id", "size", "start", "round").agg(F.sort_array(F.collect_list("block")).alias("b"))  # no more than a document's blocks
+        begins = F.filter(F.sequence(F.lit(0), F.size("b") - 1), lambda i: (i == 0) | (F.get("b", i) - F.get("b", F.greatest(i - 1, F.lit(0))) > 1))
+        run = whole.withColumn("_begins", begins).select("doc_id", "size", "start", "round", "b", "_begins", F.posexplode("_begins").alias("_k", "_i"))
+        last = F.get("b", F.coalesce(F.get("_begins", F.col("_k") + 1), F.size("b")) - 1)
+        first = F.greatest(F.get("b", F.col("_i")) * n - F.col("start"), F.lit(0))
+        run = run.withColumn("first", first).withColumn("words", F.least((last + 1) * n - F.col("start"), F.col("size")) - F.col("first"))
+        run = run.select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), "round", "first", "words")
+        joined = docs.drop("round", "first", "words").join(run, F.col(id_col) == F.col("_mix_id"))
+        part = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(PIECE), F.lit(0)), (F.col("first") + 1).cast("int"), F.col("words").cast("int")), "")
+        return joined.withColumn(text_col, F.when(F.col("words") < F.col("_mix_size"), part).otherwise(F.col(text_col))).drop("_mix_id", "_mix_size")
+
 
 def mix(
     docs: DataFrame,
@@ -132,13 +171,7 @@ def mix(
     keyed = keyed.withColumn("_upto", F.sum("size").over(in_chunk.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     sums = sizes.join(sources.select("idx", F.col("source").alias("_source")), F.col("source").eqNullSafe(F.col("_source")))
     sums = sums.groupBy("idx", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(chunks)).alias("chunk")).agg(F.sum("size").alias("_n"))
-    sums = sums.withColumn("_group", (F.col("chunk") / CHUNK).cast("long"))
-    in_group = Window.partitionBy("idx", "_group").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("_before", F.sum("_n").over(in_group) - F.col("_n"))
-    groups = sums.groupBy("idx", "_group").agg(F.sum("_n").alias("_g"))
-    by_group = Window.partitionBy("idx").orderBy("_group").rowsBetween(Window.unboundedPreceding, 0)
-    groups = groups.withColumn("_ahead", F.sum("_g").over(by_group) - F.col("_g")).drop("_g")
-    begins = sums.join(groups, ["idx", "_group"]).select("idx", "chunk", (F.col("_before") + F.col("_ahead")).alias("_begin"))
+    begins = running(sums, "idx", "chunk", "_n", "_begin").drop("_n")
     placed = keyed.join(begins, ["idx", "chunk"]).withColumn("start", F.col("_begin") + F.col("_upto"))
     placed = placed.select("doc_id", "idx", "chunk", "pos", "size", "start")
 
@@ -152,7 +185,7 @@ def mix(
     drawn = drawn.select("shard", "slot", "idx", F.row_number().over(cell.orderBy("slot")).alias("_nth"))
     drawn = staged(drawn, "mix-draws")
     counts = drawn.groupBy("shard", "idx").agg(F.count("*").alias("_c"))  # the multinomial counts
-    before = counts.withColumn("_prior", F.sum("_c").over(Window.partitionBy("idx").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
+    before = running(counts, "idx", "shard", "_c", "_prior")
     got = counts.groupBy("idx").agg(F.sum("_c").alias("_got"))
     state = spans.join(got, "idx", "left").withColumn("_got", F.coalesce("_got", F.lit(0))).select("idx", "quota", "blocks", "_got")
     over, under = F.greatest(F.col("_got") - F.col("quota"), F.lit(0)), F.greatest(F.col("quota") - F.col("_got"), F.lit(0))

@@ -1,18 +1,19 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their beginnings of 4 and 5 bytes, without closing
-punctuation, A-Z lower-cased. The vocabulary holds the terms whose presence goes
-with the label in a bounded sample of labelled documents (log-likelihood ratio
-over ``min_ratio``, in either direction); their document frequencies are counted over all documents.
-A document's neighbours are the ``neighbours`` examples of largest cosine; votes
-weighted by cosine over distance give a raw score, which a monotone step function
-fitted on left-out examples turns into a probability. The neighbours' ids are the
-evidence.
+punctuation, A-Z lower-cased. The vocabulary holds every term of the examples, a
+bounded sample of labelled documents; document frequencies are counted over all
+documents. A term's weight is (1 + log tf) * idf * relevance: its relevance is
+``FLOOR`` and the root of its log-likelihood ratio with the label for each labelled
+document, so that no term is left out and those that go with the label, for it or
+against it, decide what is near. A document's neighbours are the ``neighbours``
+examples of largest cosine; votes weighted by cosine over distance give a raw
+score, which a monotone step function fitted on left-out examples turns into a
+probability. The neighbours' ids are the evidence.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +25,11 @@ from pyspark.sql import functions as F
 from ._store import small_batches, staged
 from ._words import Words, batches
 
-#: Bounds of what is learned from labelled rows; all of it fits one broadcast of a few MB.
-SAMPLE_ROWS, MAX_TERMS, MAX_EXAMPLES = 20_000, 2_048, 8_192
+#: Bounds of the labelled rows that are learned from and of those that serve as examples.
+SAMPLE_ROWS, MAX_EXAMPLES = 20_000, 2_048
+#: Relevance of a term that says nothing of the label.
+FLOOR = 0.02
 _CLOSING = np.isin(np.arange(256), list(b".,;:!?\"')"))
-_TERM = "term long, pos long, neg long"
 
 
 def term_hashes(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -53,60 +55,73 @@ def _known(h: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class BlockMaxIndex:
-    """Postings by term over unit vectors, in blocks of examples with each term's largest weight per block."""
+    """Postings by term over unit vectors, in blocks of examples with each term's largest weight per block.
+
+    A cell is a term in a block; only cells with postings are held.
+    """
+
+    #: Blocks opened at first; places to which products are rounded before they are compared.
+    FIRST, DIGITS = 4, 12
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 64):
-        self.n, self.block = len(vectors), block
+        self.n = len(vectors)
         self.blocks = -(-self.n // block)
         example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int64)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
+        term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)])
+        weight = np.concatenate([np.empty(0), *(w for _, w in vectors)])
         order = np.lexsort((example, term))
-        self.example, self.weight, term = example[order], weight[order], term[order]
+        self.example, self.weight, term = example[order].astype(np.int32), weight[order], term[order]
         cell = term * max(self.blocks, 1) + self.example // block
-        self.begin = np.searchsorted(cell, np.arange(terms * max(self.blocks, 1) + 1)).astype(np.int32)
-        self.most = np.zeros(terms * max(self.blocks, 1))
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(terms, -1)
+        begin = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.begin = np.append(begin, len(cell))
+        self.block_of = (cell[begin] % max(self.blocks, 1)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, begin) if len(begin) else np.empty(0)
+        self.first_cell = np.searchsorted(term[begin], np.arange(terms + 1))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive dot product, ties by number: (numbers, products). Exact.
 
         The blocks of largest bound are opened first; their k-th product then tells
-        which others can hold a better example, and those are opened together.
+        which others can hold an example as good, and those are opened together.
         """
-        bound = weights @ self.most[terms]
+        cell, held = _ranges(self.first_cell, terms)
+        weight = np.repeat(weights, held)
+        bound = np.bincount(self.block_of[cell], weight * self.most[cell], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        score = self._opened(terms, weights, order[: self.FIRST], skip)
-        if len(score) > k and len(order) > self.FIRST:
+        score = self._opened(cell, weight, order[: self.FIRST], skip)
+        rest = order[self.FIRST :]
+        if len(rest) and (score > 0).sum() >= k:
             least = np.partition(score, len(score) - k)[len(score) - k]
-            rest = order[self.FIRST :]
-            rest = rest[bound[rest] > least + 1e-12]
-            if len(rest):
-                score = score + self._opened(terms, weights, rest, skip)
+            rest = rest[bound[rest] >= least - 10.0**-self.DIGITS]
+        if len(rest):
+            score = score + self._opened(cell, weight, rest, skip)
         number = np.flatnonzero(score > 0)
-        number = number[np.argsort(-np.round(score[number], 12), kind="stable")[:k]]
+        number = number[np.argsort(-np.round(score[number], self.DIGITS), kind="stable")[:k]]
         return number, score[number]
 
-    FIRST = 4
-
-    def _opened(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray, skip: int) -> np.ndarray:
+    def _opened(self, cell: np.ndarray, weight: np.ndarray, blocks: np.ndarray, skip: int) -> np.ndarray:
         """Products of all examples, 0 outside the blocks."""
-        cell = terms[:, None] * self.blocks + blocks[None, :]
-        lo = self.begin[cell.ravel()].astype(np.int64)
-        size = self.begin[cell.ravel() + 1] - lo
-        posting = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        per_term = size.reshape(cell.shape).sum(1)
-        score = np.bincount(self.example[posting], weights=np.repeat(weights, per_term) * self.weight[posting], minlength=self.n)
+        wanted = np.zeros(self.blocks, bool)
+        wanted[blocks] = True
+        inside = wanted[self.block_of[cell]]
+        posting, held = _ranges(self.begin, cell[inside])
+        score = np.bincount(self.example[posting], np.repeat(weight[inside], held) * self.weight[posting], self.n)
         if skip >= 0:
             score[skip] = 0
         return score
 
 
+def _ranges(begin: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all places from begin[i] to begin[i + 1] of each item, how many each has)."""
+    lo = begin[items]
+    size = begin[items + 1] - lo
+    return np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum())), size
+
+
 @dataclass
 class Model:
     vocabulary: np.ndarray  # sorted term hashes
-    idf: np.ndarray
+    factor: np.ndarray  # idf * relevance of each term
     index: BlockMaxIndex
     ids: np.ndarray
     labels: np.ndarray
@@ -115,7 +130,7 @@ class Model:
     steps: tuple[np.ndarray, np.ndarray]  # raw scores from which on a probability holds
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms]
+        w = (1 + np.log(counts)) * self.factor[terms]
         return w / np.linalg.norm(w)
 
     def vote(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray]:
@@ -169,16 +184,14 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     sample_rows: int = SAMPLE_ROWS,
-    max_terms: int = MAX_TERMS,
     max_examples: int = MAX_EXAMPLES,
     neighbours: int = 10,
-    min_ratio: float | None = None,
 ) -> Model | None:
     """Learns from ``labels`` (id_col, label_col 0/1; one of several labels of an id wins by being larger).
 
-    ``sample_rows`` labelled rows at most, those of smallest hash, are read;
-    document frequencies are those of all ``docs``. Without labelled texts: None.
-    ``min_ratio`` defaults to twice the logarithm of the number of terms seen.
+    ``sample_rows`` labelled rows at most, those of smallest hash, are read, and the
+    first ``max_examples`` of them that have a term are the examples; document
+    frequencies are those of all ``docs``. Without labelled texts: None.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -187,72 +200,72 @@ def fit(
     marks = staged(marks.orderBy(F.xxhash64("id"), "id").limit(sample_rows), "tox-marks")  # its bound: sample_rows rows of 16 bytes
     sample = staged(own.filter(F.length("text") > 0).join(F.broadcast(marks), "id"), "tox-sample")
 
-    def count(parts):
+    def examples(parts):
         for pdf in parts:
-            y = pdf["y"].to_numpy()
-            texts = pdf["text"].tolist()
-            for h, doc in term_hashes(texts):
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                first = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.empty(0, bool)
-                term, at = np.unique(h[first], return_inverse=True)
-                pos = np.bincount(at, weights=y[doc[first]], minlength=len(term)).astype(np.int64)
-                yield pd.DataFrame({"term": term.view(np.int64), "pos": pos, "neg": np.bincount(at, minlength=len(term)) - pos})
-
-    size = sample.agg(F.count("*"), F.sum("y")).first()
-    rows, positive = size[0], size[1] or 0
-    if not rows:
+            found = [(np.empty(0, np.uint64), np.empty(0, np.int64))] * len(pdf)
+            for h, doc in term_hashes(pdf["text"].tolist()):
+                for i in np.unique(doc).tolist():
+                    found[i] = np.unique(h[doc == i], return_counts=True)
+            some = [len(t) > 0 for t, _ in found]
+            yield pdf[["id", "y"]].assign(terms=[t.tobytes() for t, _ in found], counts=[c.tobytes() for _, c in found])[some]
+
+    chosen = staged(sample.orderBy(F.xxhash64("id"), "id").limit(max_examples), "tox-examples")
+    kept = chosen.mapInPandas(examples, "id long, y long, terms binary, counts binary").toPandas()  # its bound: max_examples texts
+    if not len(kept):
         return None
-    seen = sample.mapInPandas(count, _TERM).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(F.col("pos") + F.col("neg") > 2)
-    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    n, p, q = F.col("pos") + F.col("neg"), F.lit(float(positive)), F.lit(float(rows - positive))
-    cells = [(F.col("pos"), n * p / rows), (F.col("neg"), n * q / rows), (p - F.col("pos"), (rows - n) * p / rows), (q - F.col("neg"), (rows - n) * q / rows)]
-    scored = staged(seen.withColumn("ratio", 2 * sum((part(o.cast("double"), e) for o, e in cells), F.lit(0.0))), "tox-terms")
-    least = 2 * math.log(max(2, scored.count())) if min_ratio is None else min_ratio
-    chosen = scored.filter(F.col("ratio") > least).orderBy(F.desc("ratio"), "term").limit(max_terms).toPandas()
-    vocabulary = np.sort(chosen["term"].to_numpy(np.int64).view(np.uint64))
-
-    def frequency(parts):
-        total, here = np.zeros(len(vocabulary), np.int64), 0
-        for pdf in parts:
-            here += len(pdf)
-            for t, _ in vectors_of(pdf["text"].tolist(), vocabulary):
-                total[t] += 1
-        yield pd.DataFrame({"term": [-1, *np.flatnonzero(total).tolist()], "n": [here, *total[total > 0].tolist()]})
-
-    counted = dict(own.mapInPandas(frequency, "term long, n long").groupBy("term").agg(F.sum("n")).collect())  # max_terms + 1 rows at most
-    df = np.array([counted.get(i, 0) for i in range(len(vocabulary))], float)
-    idf = np.log((1 + counted.get(-1, 0)) / (1 + df)) + 1
+    terms = [np.frombuffer(t, np.uint64) for t in kept["terms"]]
+    vocabulary = np.unique(np.concatenate(terms))
+    shared = spark.sparkContext.broadcast(vocabulary)
 
-    def examples(parts):
+    def counted(parts):
+        n, pos, rows = np.zeros(len(shared.value), np.int64), np.zeros(len(shared.value), np.int64), [0, 0]
         for pdf in parts:
-            found = vectors_of(pdf["text"].tolist(), vocabulary)
-            yield pdf[["id", "y"]].assign(terms=[t.tolist() for t, _ in found], counts=[c.tolist() for _, c in found])[[len(t) > 0 for t, _ in found]]
-
-    vectored = staged(sample.mapInPandas(examples, "id long, y long, terms array<long>, counts array<long>"), "tox-vectors")
-    known = vectored.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    kept = vectored.orderBy(F.xxhash64("id"), "id").limit(max_examples).toPandas()
+            rows[0] += len(pdf)
+            rows[1] += int(pdf["y"].sum())
+            for y, (t, _) in zip(pdf["y"].tolist(), vectors_of(pdf["text"].tolist(), shared.value), strict=True):
+                n[t] += 1
+                pos[t] += y
+        seen = np.flatnonzero(n)
+        yield pd.DataFrame({"term": [-1, *seen.tolist()], "n": [rows[0], *n[seen].tolist()], "pos": [rows[1], *pos[seen].tolist()]})
+
+    def counts(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(rows with each term, of these those with the label), all rows in the last place."""
+        found = df.mapInPandas(counted, "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).toPandas()
+        out = np.zeros((2, len(vocabulary) + 1))
+        out[:, found["term"].to_numpy()] = found[["n", "pos"]].to_numpy().T
+        return out[0], out[1]
+
+    df, _ = counts(own.withColumn("y", F.lit(0).cast("long")))
+    n, pos = counts(sample.select("id", "text", "y"))
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    factor = idf * (FLOOR + np.sqrt(likelihood_ratio(n[:-1], pos[:-1], n[-1], pos[-1]) / n[-1]))
     # neighbours in the order of their strongest terms share blocks, which keeps the bounds sharp
-    lead = [sorted(t, key=lambda i: (-idf[i], i)) for t in kept["terms"]]
-    kept = kept.iloc[sorted(range(len(kept)), key=lead.__getitem__)]
-    base = positive / rows
-    model = Model(vocabulary, idf, None, kept["id"].to_numpy(), kept["y"].to_numpy(float), neighbours, base, None)
-    pairs = [np.array(t, np.int64) for t in kept["terms"]], [np.array(c, float) for c in kept["counts"]]
-    vectors = [(t, model.vector(t, c)) for t, c in zip(*pairs, strict=True)]
-    model.index = BlockMaxIndex(vectors, max(1, len(vocabulary)))
-    raw = np.array([model.vote(t, w, skip=i)[0] for i, (t, w) in enumerate(vectors)])
-    # documents without a term: a raw score of 0, standing for all other rows of the sample
-    low = (positive - known[1] + 0.5) / (rows - known[0] + 1)
-    at, value = _steps(raw, model.labels) if len(raw) else (np.empty(0), np.empty(0))
-    model.steps = (np.concatenate([[0.0], at]), np.concatenate([[low], np.maximum(value, low)]))
+    vectors = [(np.searchsorted(vocabulary, t), np.frombuffer(c, np.int64).astype(float)) for t, c in zip(terms, kept["counts"], strict=True)]
+    lead = [t[np.lexsort((t, -factor[t]))[:8]].tolist() for t, _ in vectors]
+    order = sorted(range(len(kept)), key=lead.__getitem__)
+    kept, vectors = kept.iloc[order], [vectors[i] for i in order]
+    model = Model(vocabulary, factor, None, kept["id"].to_numpy(), kept["y"].to_numpy(float), neighbours, pos[-1] / n[-1], None)
+    vectors = [(t, model.vector(t, c)) for t, c in vectors]
+    model.index = BlockMaxIndex(vectors, len(vocabulary))
+    model.steps = _steps(np.array([model.vote(t, w, skip=i)[0] for i, (t, w) in enumerate(vectors)]), model.labels)
     return model
 
 
+def likelihood_ratio(n: np.ndarray, pos: np.ndarray, rows: float, positive: float) -> np.ndarray:
+    """Twice the log-likelihood ratio of each term's presence and the label; n of the rows have the term, pos of these the label."""
+    out = np.zeros(len(n))
+    for with_label, all_of in ((pos, positive), (n - pos, rows - positive)):
+        for seen, share in ((with_label, n), (all_of - with_label, rows - n)):
+            expected = share * all_of / rows
+            out += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
+    return np.maximum(2 * out, 0)
+
+
 def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from ``threshold``), evidence (ids of the neighbours, nearest first).
 
     Null and empty texts, and texts without a known term: the lowest score, no
-    evidence. Whole texts are read, however long. Repeated rows score alike; an
+    evidence. Of examples at one distance those first in the index count. Whole texts are read, however long. Repeated rows score alike; an
     empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession

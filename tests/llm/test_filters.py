@@ -57,19 +57,23 @@ def test_automaton_equals_wildcards():
 
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(1)
-    vectors = []
-    for _ in range(700):
-        t = np.sort(rng.choice(60, rng.integers(1, 6), replace=False))
-        w = rng.random(len(t))
-        vectors.append((t, w / np.linalg.norm(w)))
-    dense = np.zeros((700, 60))
-    for i, (t, w) in enumerate(vectors):
-        dense[i, t] = w
-    index = BlockMaxIndex(vectors, 60)
-    for i in range(0, 700, 7):
-        _, s = index.search(*vectors[i], 10, skip=i)
-        truth = np.delete(dense @ dense[i], i)
-        assert np.allclose(s, np.sort(truth)[::-1][: len(s)])
+    for weights in (lambda n: rng.random(n), lambda n: np.ones(n)):  # of equal weights many products tie
+        vectors = []
+        for _ in range(700):
+            t = np.sort(rng.choice(60, rng.integers(1, 6), replace=False))
+            w = weights(len(t))
+            vectors.append((t, w / np.linalg.norm(w)))
+        dense = np.zeros((700, 60))
+        for i, (t, w) in enumerate(vectors):
+            dense[i, t] = w
+        index = BlockMaxIndex(vectors, 60)
+        for i in range(0, 700, 7):
+            number, s = index.search(*vectors[i], 10, skip=i)
+            truth = np.round(dense @ dense[i], 12)
+            truth[i] = 0
+            best = [j for j in sorted(range(700), key=lambda j: (-truth[j], j))[:10] if truth[j] > 0]
+            assert number.tolist() == best and np.allclose(s, truth[best])
+    assert len(BlockMaxIndex([], 5).search(np.array([1]), np.ones(1), 3)[0]) == 0
 
 
 def _labelled(spark, n=400):
@@ -92,7 +96,7 @@ def test_toxicity_learns_and_scores_whole_texts(spark):
     for i, p, s, n in got:
         assert 0 <= s <= 1
         if i < 900:
-            assert p == (i % 5 == 0) and (n > 0) == (i % 5 == 0)
+            assert p == (i % 5 == 0) and n == 10
     assert sorted((i, p) for i, p, _, _ in got if i >= 900) == [(900, 0), (901, 0), (902, 0), (902, 1)]
     none = toxicity.fit(docs.limit(0), labels)
     assert none is None and {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
@@ -107,6 +111,52 @@ def test_toxicity_uses_terms_of_small_lift(spark):
     assert toxicity.score(df.filter("doc_id = 900"), model).first().evidence
 
 
+def test_toxicity_equals_plain_votes(spark):
+    """Weights, neighbours, votes and calibration against dictionaries of whole words."""
+    import math
+
+    docs, labels = _labelled(spark, 150)
+    model = toxicity.fit(docs, labels.filter("doc_id < 100"), neighbours=5)
+    rows = {r.doc_id: r.text for r in docs.collect()}
+
+    def terms(text):
+        words = [w.rstrip(".,;:!?\"')") or w for w in text.lower().split()]
+        return [*words, *(f"{n}{w[:n]}" for w in words for n in (4, 5) if len(w) > n)]
+
+    bags = {i: {t: terms(x).count(t) for t in set(terms(x))} for i, x in rows.items()}
+    known = {t for i in range(100) for t in bags[i]}
+    positive = {i for i in range(100) if i % 5 == 0}
+
+    def factor(t):
+        df = sum(t in b for b in bags.values())
+        n, pos = sum(t in bags[i] for i in range(100)), sum(t in bags[i] for i in positive)
+        ratio = 0
+        for seen, share, everyone in ((pos, n, 20), (n - pos, n, 80), (20 - pos, 100 - n, 20), (80 - n + pos, 100 - n, 80)):
+            ratio += 2 * seen * math.log(seen / (share * everyone / 100)) if seen else 0
+        return (math.log(151 / (1 + df)) + 1) * (0.02 + math.sqrt(max(0, ratio) / 100))
+
+    factors = {t: factor(t) for t in known}
+    vector = {i: {t: (1 + math.log(n)) * factors[t] for t, n in b.items() if t in known} for i, b in bags.items()}
+    cosine = lambda a, b: sum(w * b[t] for t, w in a.items() if t in b) / math.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
+
+    def vote(i):
+        near = sorted(((cosine(vector[i], vector[j]), j) for j in range(100) if j != i), reverse=True)[:5]
+        w = [c / max(1 - c, 0.05) for c, _ in near]
+        return (sum(x for x, (_, j) in zip(w, near, strict=True) if j in positive) + 0.05 * 0.2) / (sum(w) + 0.05), [j for _, j in near]
+
+    raw = {i: vote(i) for i in range(150)}
+    pools = [[raw[i][0], float(i in positive), 1] for i in sorted(range(100), key=lambda i: raw[i][0])]
+    while any(a[1] / a[2] >= b[1] / b[2] or abs(a[0] - b[0]) < 1e-12 for a, b in zip(pools, pools[1:], strict=False)):
+        k = next(k for k, (a, b) in enumerate(zip(pools, pools[1:], strict=False)) if a[1] / a[2] >= b[1] / b[2] or abs(a[0] - b[0]) < 1e-12)
+        pools[k : k + 2] = [[pools[k][0], pools[k][1] + pools[k + 1][1], pools[k][2] + pools[k + 1][2]]]
+    for r in toxicity.score(docs.filter("doc_id >= 100"), model).collect():
+        expected, near = raw[r.doc_id]
+        assert r.evidence == near
+        pool = max((k for k, p in enumerate(pools) if p[0] <= expected + 1e-9), default=0)
+        value = max((y + 0.5) / (n + 1) for _, y, n in pools[: pool + 1])
+        assert abs(r.score - value) < 1e-9 and r.predicted == (value >= 0.7)
+
+
 def test_language(spark):
     rng = np.random.default_rng(3)
     kinds = {"aa": ["the", "thing", "wash", "ouch"], "bb": ["el", "niño", "qué", "ll"], "cc": ["der", "über", "schön", "ei"]}
@@ -201,3 +251,5 @@ def test_lm_packing_round_trip():
         for n in (0, 1, 1000):
             x = rng.integers(0, np.iinfo(kind).max, n, dtype=kind)
             assert (lm_score.unpacked(lm_score.packed(x), kind) == x).all()
+            x.sort()
+            assert (lm_score.unpacked(lm_score.packed(x, True), kind, True) == x).all()
