@@ -5,9 +5,6 @@ Paragraph tables have columns doc, pos (order inside the document) and line.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +22,9 @@ ARTICLE = "^第([零一二三四五六七八九十百千]+)条(之[一二三四
 HEADING = "^第[零一二三四五六七八九十百千]+[编章节]"
 SECTION = "^([一二三四五六七八九十]+)、"
 ITEM = r"^([0-9]+)\s*[\.．]"
-# Lines of page furniture.
+# Lines of page furniture: font codes only; private-use characters, full-width digits, white space and dashes only; short lines of known forms.
+CODES_ONLY = r"^(?:\(cid:\d+\)\s*)+$"
+PRIVATE_ONLY = f"^[\ue000-\uf8ff\uff10-\uff19{T.SPACE_CLASS}\\-—–·.]+$"
 FURNITURE_MAX = 40
 FURNITURE = [
     "^[^，。；：！？]*公报[^，。；：！？]*$",
@@ -153,13 +152,11 @@ def select_source(candidates: DataFrame) -> DataFrame:
 
 def is_garbage(line: Column) -> Column:
     """Page furniture: font codes only, private-use or full-width digits only, or a short line of a known form."""
-    codes = line.rlike(r"^(?:\(cid:\d+\)\s*)+$")
-    private = line.rlike(f"^[{chr(0xE000)}-{chr(0xF8FF)}{chr(0xFF10)}-{chr(0xFF19)}{T.SPACE_CLASS}—–·.-]+$")
     short = F.length(line) <= FURNITURE_MAX
     known = F.lit(False)
     for pattern in FURNITURE:
         known = known | line.rlike(pattern)
-    return codes | (~F.contains(line, F.lit(CID)) & (private | (short & known)))
+    return line.rlike(CODES_ONLY) | (~F.contains(line, F.lit(CID)) & (line.rlike(PRIVATE_ONLY) | (short & known)))
 
 
 def content_blocks(paragraphs: DataFrame) -> DataFrame:
@@ -170,54 +167,31 @@ def content_blocks(paragraphs: DataFrame) -> DataFrame:
     return d.withColumn("block", F.dense_rank().over(Window.partitionBy("doc").orderBy("_c"))).select("doc", "block", "pos", "line")
 
 
-_LABEL = re.compile("^第([一二三四五六七八九十百千零〇]+)条")
-
-
-def _label_number(line: str) -> int | None:
-    m = _LABEL.match(line)
-    if not m:
-        return None
-    total = digit = 0
-    for c in m[1]:
-        if c in "十百千":
-            total, digit = total + max(digit, 1) * {"十": 10, "百": 100, "千": 1000}[c], 0
-        else:
-            digit = 0 if c == "〇" else T.CN_DIGITS.index(c)
-    return total + digit
-
-
-def _drops(lines: list[str], top: int | None) -> tuple[int, int | None]:
-    """How often article numbers fall below those before, and the largest at the end."""
-    count = 0
-    for n in filter(lambda x: x is not None, map(_label_number, lines)):
-        count += top is not None and n < top
-        top = n if top is None else max(top, n)
-    return count, top
+LABEL = "^第[一二三四五六七八九十百千零〇]+条"
 
 
 def deinterleave(paragraphs: DataFrame) -> DataFrame:
     """doc, pos, line: the two columns of each block, read line by line in turn, one after the other again.
 
-    The left column comes first unless article numbers fall less often the other
-    way round. The largest number so far is carried from block to block, so each
-    document is one group; documents are pages of one publication, not tables.
+    Both orders of a block are tried: a label that is smaller than one read before it
+    speaks against an order, and the left column comes first unless the other order
+    has fewer such labels. What was read before is the running maximum, whatever the
+    order of earlier blocks, so both orders are windows and no block waits for another.
+    A window holds the lines of one document; documents are publications, not tables.
     """
-
-    def restore(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, top = [], None
-        for _, block in pdf.sort_values(["block", "pos"]).groupby("block"):
-            lines = block["line"].tolist()
-            a, b = lines[0::2], lines[1::2]
-            first, mid = _drops(a, top)
-            second, end = _drops(b, mid)
-            other, mid = _drops(b, top)
-            rest, _ = _drops(a, mid)
-            out += b + a if other + rest < first + second else a + b
-            top = end
-        return pd.DataFrame({"doc": pdf["doc"].iat[0], "pos": range(len(out)), "line": out})
-
-    kind = dict(paragraphs.dtypes)["doc"]
-    return content_blocks(paragraphs).groupBy("doc").applyInPandas(restore, f"doc {kind}, pos long, line string")
+    n = F.when(F.col("line").rlike(LABEL), T.numeral_of_label(F.col("line")))
+    place = F.row_number().over(Window.partitionBy("doc", "block").orderBy("pos")) - 1
+    d = content_blocks(paragraphs).withColumn("_n", n).withColumn("_place", place).withColumn("_right", F.col("_place") % 2)
+    earlier = Window.partitionBy("doc").orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_earlier", F.max("_n").over(earlier))
+    for name, first in (("_left_first", F.col("_right")), ("_right_first", -F.col("_right"))):
+        read = Window.partitionBy("doc", "block").orderBy(first, "_place").rowsBetween(Window.unboundedPreceding, -1)
+        d = d.withColumn(name, (F.col("_n") < F.greatest("_earlier", F.max("_n").over(read))).cast("int"))
+    block = Window.partitionBy("doc", "block")
+    total = lambda c: F.coalesce(F.sum(c).over(block), F.lit(0))
+    side = F.when(total("_right_first") < total("_left_first"), -F.col("_right")).otherwise(F.col("_right"))
+    order = Window.partitionBy("doc").orderBy("block", "_side", "_place")
+    return d.withColumn("_side", side).select("doc", (F.row_number().over(order) - 1).cast("long").alias("pos"), "line")
 
 
 def html_paragraphs(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -229,15 +203,14 @@ def html_paragraphs(pages: DataFrame, key: str = "page_id", html: str = "html")
         t = F.replace(t, F.lit(entity), F.lit(char))
     strip = lambda x: F.regexp_replace(x, f"^[{T.SPACE_CLASS}]+|[{T.SPACE_CLASS}]+$", "")
     lines = F.filter(F.transform(F.split(t, "\n"), strip), lambda x: x != "")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf"))
-
-    def step(acc: Column, x: Column) -> Column:
-        small = F.length(x) <= 2
-        flushed = F.when(acc["buf"] == "", acc["out"]).otherwise(F.array_append(acc["out"], acc["buf"]))
-        return F.struct(F.when(small, acc["out"]).otherwise(F.array_append(flushed, x)).alias("out"), F.when(small, F.concat(acc["buf"], x)).otherwise("").alias("buf"))
-
-    found = F.aggregate(lines, start, step, lambda acc: F.when(acc["buf"] == "", acc["out"]).otherwise(F.array_append(acc["out"], acc["buf"])))
-    return pages.select(key, F.posexplode(found).alias("pos", "_l")).select(key, "pos", T.normalize_line(F.col("_l")).alias("line"))
+    # a line begins a paragraph unless it and the one before are both short
+    size = lambda i: F.length(F.get("_lines", i))
+    begins = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: (i == 0) | (size(i) > 2) | (size(F.greatest(i - 1, F.lit(0))) > 2))
+    d = pages.select(key, lines.alias("_lines")).filter(F.size("_lines") > 0).withColumn("_begins", begins)
+    d = d.select(key, "_lines", "_begins", F.posexplode("_begins").alias("pos", "_from"))
+    upto = F.coalesce(F.get("_begins", F.col("pos") + 1), F.size("_lines"))
+    whole = F.array_join(F.slice("_lines", F.col("_from") + 1, upto - F.col("_from")), "")
+    return d.select(key, "pos", T.normalize_line(whole).alias("line"))
 
 
 def merge_violations(base: DataFrame, fragment: DataFrame) -> DataFrame:
@@ -264,21 +237,41 @@ def merge(base: DataFrame, fragment: DataFrame) -> DataFrame:
     return base.unionByName(fragment)
 
 
-def rebuild(base: DataFrame, replacements: DataFrame, id_base: int = 995000, drop_laws: list[str] | None = None) -> DataFrame:
+def numbered(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """``rows`` with consecutive numbers from 1 by group and order: counted by group first, so that no task sorts all rows."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_size"))  # a row per group, the only thing that meets in one task
+    ahead = F.sum("_size").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1))
+    begins = sizes.select(group, F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    return rows.withColumn("_inside", inside).join(begins, group).withColumn(name, F.col("_ahead") + F.col("_inside")).drop("_ahead", "_inside")
+
+
+def rebuild(base: DataFrame, replacements: DataFrame, id_base: int = 995000, drop_laws: list[str] | None = None, rules: DataFrame | None = None) -> DataFrame:
     """row_idx, id, law, num, text: rows of replaced or dropped laws leave, replacements follow with ids from ``id_base`` + 1.
 
-    Of several replacements of a law the one of smallest priority is taken.
+    Of several replacements of a law the one of smallest priority is taken. ``rules``
+    (law, rule) say more: ``drop`` drops a law, ``drop-pageblock`` only its rows that
+    hold several labels, ``keep`` keeps it and passes over its replacements.
     """
-    gone = replacements.select("law").distinct()
-    if drop_laws:
-        gone = gone.unionByName(gone.sparkSession.createDataFrame([(x,) for x in drop_laws], "law string")).distinct()
-    kept = base.join(gone, "law", "left_anti").select("row_idx", "id", "law", "num", "text")
+    spark = base.sparkSession
+    ruled = spark.createDataFrame([], "law string, rule string") if rules is None else rules.select("law", "rule")
+    ruled = ruled.unionByName(spark.createDataFrame([(x, "drop") for x in drop_laws or []], "law string, rule string"))
+    laws = lambda rule: ruled.filter(F.col("rule") == rule).select("law").distinct()
+    replacements = replacements.join(laws("keep"), "law", "left_anti")
+    gone = replacements.select("law").union(laws("drop")).distinct()
+    blocks = laws("drop-pageblock").withColumn("_blocks", F.lit(True))
+    kept = base.join(gone, "law", "left_anti").join(blocks, "law", "left").filter(F.col("_blocks").isNull() | (F.coalesce(label_count(F.col("text")), F.lit(0)) <= 1))
     best = replacements.groupBy("law").agg(F.min("priority").alias("priority"))
-    new = replacements.join(best, ["law", "priority"])
+    new = numbered(replacements.join(best, ["law", "priority"]), "law", "ord", "_n")
     last = base.agg(F.coalesce(F.max("row_idx"), F.lit(0)).alias("_last"))
-    n = F.row_number().over(Window.orderBy("law", "ord"))  # ids are consecutive over the replacements, a small part of a corpus
-    new = new.withColumn("_n", n).crossJoin(F.broadcast(last))  # one row
-    return kept.unionByName(new.select((F.col("_last") + F.col("_n")).alias("row_idx"), (F.lit(id_base) + F.col("_n")).cast("long").alias("id"), "law", "num", "text"))
+    new = new.crossJoin(F.broadcast(last))  # one row
+    new = new.select((F.col("_last") + F.col("_n")).alias("row_idx"), (F.lit(id_base) + F.col("_n")).cast("long").alias("id"), "law", "num", "text")
+    return kept.select("row_idx", "id", "law", "num", "text").unionByName(new)
+
+
+def label_count(text: Column) -> Column:
+    """Article labels in a text."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(LABEL[1:]))
 
 
 def row_id_map(rows: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.expansion import Synonyms, expand_query
+from .grams import bm25_matrix, containing, few, named
 
 # BM25 saturation and length weight, fusion constant, ranking depth, depth under a reranker, weight of the expanded query.
 K1, B, RRF_K, DEPTH, RERANK_DEPTH, EXPAND_WEIGHT = 1.5, 0.6, 60, 30, 100, 1.5
@@ -65,19 +66,28 @@ def bm25_weight(k1: float | Column = K1, b: float | Column = B) -> Column:
     return F.col("times") * idf * tf * (k1 + 1) / norm
 
 
+def _scored(corpus: DataFrame, queries: DataFrame, k: int | None, settings: list[tuple[float, float]]) -> DataFrame:
+    """qid, setting, row_idx, score under each (k1, b); with ``k`` only rows that can be among a ranking's first k."""
+    grams = queries.select("qid", F.explode(T.query_grams(F.col("query"))).alias("gram")).groupBy("qid", "gram").agg(F.count("*").alias("times"))
+    pairs = few(grams)
+    if pairs is not None:
+        asked = [Row(qid=x) for x in dict.fromkeys(r.qid for r in pairs)]
+        return named(bm25_matrix(corpus, asked, pairs, k, settings), asked, queries)
+    grid = F.posexplode(F.array(*(F.struct(F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b")) for k1, b in settings))).alias("setting", "_s")
+    weighed = bm25_terms(corpus, queries).select("*", grid).withColumn("_w", bm25_weight(F.col("_s.k1"), F.col("_s.b")))
+    return weighed.groupBy("qid", "setting", "row_idx").agg(F.round(F.sum("_w"), 6).alias("score"))
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, k: int | None = 10, *, k1: float = K1, b: float = B) -> DataFrame:
     """qid, rank, row_idx, score: the k best rows of each query."""
-    scored = bm25_terms(corpus, queries).groupBy("qid", "row_idx").agg(F.round(F.sum(bm25_weight(k1, b)), 6).alias("score"))
+    scored = _scored(corpus, queries, k, [(k1, b)]).select("qid", "row_idx", "score")
     return ranked(scored, [F.desc("score"), F.col("row_idx")], k)
 
 
 def like(corpus: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
-    """qid, rank, row_idx, score, position: rows whose raw text holds the collapsed query, the earliest first.
-
-    The queries are a stated set held against all rows; an empty query hits every row.
-    """
-    own = queries.select("qid", T.collapse(F.col("query")).alias("_q"))
-    hits = corpus.join(own, F.expr("locate(_q, text) > 0")).select("qid", "row_idx", F.lit(1.0).alias("score"), F.expr("locate(_q, text)").alias("position"))
+    """qid, rank, row_idx, score, position: rows whose raw text holds the collapsed query, the earliest first; an empty query hits every row."""
+    own = queries.select("qid", T.collapse(F.col("query")).alias("needle"))
+    hits = containing(corpus, own, k).select("qid", "row_idx", F.lit(1.0).alias("score"), "position")
     return ranked(hits, [F.col("position"), F.col("row_idx")], k)
 
 
@@ -153,8 +163,7 @@ def guarded(queries: DataFrame, most: int = 200) -> DataFrame:
 
 def parameter_scan(corpus: DataFrame, queries: DataFrame, bs: list[float], k: int = 10) -> DataFrame:
     """b, qid, rank, row_idx, score: BM25 under each length weight from one pass over the terms."""
-    grid = F.explode(F.array(*map(F.lit, map(float, bs))))
-    terms = bm25_terms(corpus, queries).withColumn("b", grid)
-    scored = terms.groupBy("b", "qid", "row_idx").agg(F.round(F.sum(bm25_weight(K1, F.col("b"))), 6).alias("score"))
+    value = F.get(F.array(*(F.lit(float(b)) for b in bs)), F.col("setting"))
+    scored = _scored(corpus, queries, k, [(K1, b) for b in bs]).select(value.alias("b"), "qid", "row_idx", "score")
     out = scored.withColumn("rank", F.row_number().over(Window.partitionBy("b", "qid").orderBy(F.desc("score"), "row_idx")))
     return out.filter(F.col("rank") <= k)

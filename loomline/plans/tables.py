@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.grams import containing
 
 #: Key and values of the synonym table that the registered queries use.
 SYNONYMS = {"thin": ["stand", "erth"], "ción": ["mente"], "ung": ["heit"], "ment": ["tion"]}
@@ -42,9 +43,9 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, gold_ids: the documents whose squeezed text holds the squeezed passage; passages in none are left out."""
-    d = corpus(spark, sf_dir).select("row_idx", T.squeeze(F.col("text")).alias("s"))
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.squeeze(F.col("text")).alias("p"))
-    return d.join(b, F.expr("locate(p, s) > 0")).groupBy("qid").agg(F.array_sort(F.collect_list("row_idx")).alias("gold_ids"))
+    d = corpus(spark, sf_dir).select("row_idx", T.squeeze(F.col("text")).alias("text"))
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.squeeze(F.col("text")).alias("needle"))
+    return containing(d, b).groupBy("qid").agg(F.array_sort(F.collect_list("row_idx")).alias("gold_ids"))
 
 
 def plain(df: DataFrame) -> DataFrame:

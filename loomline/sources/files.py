@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -73,37 +72,42 @@ def sqlite(spark: SparkSession, path: str, table: str, columns: Sequence[str], s
     return bounds.repartition(ranges, "a").mapInPandas(run, schema)
 
 
-def _docx_lines(content: bytes) -> list[str]:
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        xml = z.read("word/document.xml").decode("utf-8")
-    out = []
-    for part in re.findall(r"(?s)<w:p[ >].*?</w:p>", xml):
-        line = " ".join("".join(re.findall(r"<w:t(?: [^>]*)?>([^<]*)</w:t>", part)).split())
-        if line:
-            out.append(line)
-    return out
-
-
-def _markdown_lines(content: bytes) -> list[str]:
-    out = []
-    for line in content.decode("utf-8", "replace").splitlines():
-        s = line.strip()
-        if s and not s.startswith(("#", "<!--", "-->", ">")):
-            s = " ".join(s.replace("*", "").split())
-            out += [s] if s else []
-    return out
-
-
-def paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    """doc (the file's path), pos, line of the word-processor and Markdown files under ``path``, told apart by their first bytes."""
-
-    def run(parts):
-        for pdf in parts:
-            lines = [_docx_lines(c) if c[:2] == b"PK" else _markdown_lines(c) for c in pdf["content"]]
-            yield pd.DataFrame({"doc": pdf["path"], "lines": lines})
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInPandas(run, "doc string, lines array<string>").select("doc", F.posexplode("lines").alias("pos", "line"))
+def _docx_text(contents: pd.Series) -> pd.Series:
+    """The paragraphs of word-processor files, one to a line."""
+    from xml.etree import ElementTree
+
+    def one(content: bytes) -> str:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open("word/document.xml") as part:
+            lines, runs = [], []
+            for _, node in ElementTree.iterparse(part):
+                kind = node.tag.rpartition("}")[2]
+                if kind == "t":
+                    runs.append(node.text or "")
+                elif kind == "p":
+                    lines.append("".join(runs))
+                    runs = []
+        return "\n".join(lines)
+
+    return contents.map(one)
+
+
+def _prose(line: Column) -> Column:
+    """A Markdown line as prose: no emphasis; null for headings, comments and quotations."""
+    bare = T.collapse(line)
+    return F.when(~bare.rlike("^(#|<!--|-->|>)"), T.collapse(F.translate(bare, "*", "")))
+
+
+def paragraphs(spark: SparkSession, path: str, normalized: bool = False) -> DataFrame:
+    """doc (the file's path), pos, line of the word-processor and Markdown files under ``path``, told apart by their first
+    bytes; blank lines are left out. ``normalized``: lines also go through ``normalize_line``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("doc"), "content")
+    zipped = F.substring("content", 1, 2) == F.lit(b"PK")
+    word = files.filter(zipped).select("doc", F.split(F.pandas_udf(_docx_text, "string")("content"), "\n").alias("lines"))
+    word = word.withColumn("lines", F.transform("lines", T.collapse))
+    plain = files.filter(~zipped).select("doc", F.transform(F.split(F.col("content").cast("string"), r"\r\n|[\r\n]"), _prose).alias("lines"))
+    found = word.unionByName(plain).select("doc", F.filter("lines", lambda x: x.isNotNull() & (x != "")).alias("lines"))
+    lines = found.select("doc", F.posexplode("lines").alias("pos", "line"))
+    return lines.withColumn("line", T.normalize_line(F.col("line"))) if normalized else lines
 
 
 def directory_index(spark: SparkSession, path: str) -> DataFrame:

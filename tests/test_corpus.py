@@ -120,7 +120,7 @@ def test_gold(spark):
 
 
 def test_readers(spark, tmp_path):
-    xml = '<w:document><w:p><w:r><w:t>第一条</w:t><w:t xml:space="preserve"> 甲</w:t></w:r></w:p><w:p a="1"><w:t> </w:t></w:p></w:document>'
+    xml = '<w:document xmlns:w="urn:w"><w:p><w:r><w:t>第一条</w:t><w:t xml:space="preserve"> 甲</w:t></w:r></w:p><w:p a="1"><w:t> </w:t></w:p></w:document>'
     with zipfile.ZipFile(buffer := io.BytesIO(), "w") as z:
         z.writestr("word/document.xml", xml)
     folder = tmp_path / "in"
