@@ -1,15 +1,22 @@
-"""Near-duplicate vectors by exact comparison of neighbouring cells.
+"""Near-duplicate vectors by a robust-pruned flat graph, searched within a range and verified in double precision.
 
 Equal vectors of a label are one point. A point's home is the cell of its nearest
 centre; centres are drawn from a bounded sample. It also visits every later cell
 that a vector within its range can lie in, so that any two linked points meet in
 exactly one cell, at home or as home and visitor. Cells too large for a task are
-cut into blocks, and blocks that can hold a link are compared by matrix products in
-double precision. A task gives a number of links and a link to a representative for each
-point, not its pairs. ``audit`` measures recall by brute force.
-
-``flat_graph`` and ``range_search`` are an approximate search in memory, which
-the query does not use: its links are to be whole.
+cut into blocks, and a task gets two blocks at most.
+
+There the points are dealt to overlapping cluster shards. Each shard gives every point
+out-neighbours, the nearest and some random candidates pruned so that none hides
+behind another; the shards' adjacency lists are united, both ways, into one flat graph.
+Every point then searches it, greedily from the medoid of its nearest shard and from
+its own place, and expands whatever lies within the range. Cosines near the threshold
+are verified from the raw vectors. Each task audits its recall: every
+``AUDITED``-th search is repeated by brute force, and where that finds a link that the
+graph has not, the task's blocks are compared as a whole by matrix products.
+
+A task gives a number of links and a link to a representative for each point, not its
+pairs. ``audit`` measures the recall of the whole by brute force.
 """
 
 from __future__ import annotations
@@ -28,8 +35,8 @@ from ._store import small_batches, staged
 SAMPLE, CENTRES, REGION, SHARD = 16_384, 4_096, 8_192, 256
 #: Products computed at once, rows dealt at once.
 CELLS, DEALT = 1 << 21, 4_096
-#: Out-degree, candidates looked at, pruning slack, beam.
-DEGREE, CANDIDATES, ALPHA, BEAM = 16, 48, 1.2, 16
+#: Out-degree, nearest and random candidates looked at, pruning slack, beam, searches at once, one in how many is audited.
+DEGREE, CANDIDATES, RANDOM, ALPHA, BEAM, TOGETHER, AUDITED = 16, 40, 8, 1.2, 8, 128, 20
 
 
 def clean(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
@@ -48,31 +55,34 @@ def unit(values) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def robust_prune(x: np.ndarray) -> list[np.ndarray]:
-    """Out-neighbours of every row of unit vectors, candidates being the nearest rows of the shard."""
+def robust_prune(x: np.ndarray) -> np.ndarray:
+    """(row, out-neighbour) of the unit vectors of a shard; candidates are the nearest rows and a few random ones."""
     n, near = len(x), min(len(x) - 1, CANDIDATES)
     if near < 1:
-        return [np.empty(0, np.int64) for _ in range(n)]
+        return np.empty((0, 2), np.int64)
+    some = np.random.default_rng(n).integers(0, n, (n, RANDOM))
     out = []
     for lo in range(0, n, 128):
         block = x[lo : lo + 128] @ x.T
         rows = np.arange(len(block))
         block[rows, rows + lo] = -np.inf
         c = np.argpartition(-block, near - 1, axis=1)[:, :near]
+        c = np.concatenate([c, some[lo : lo + 128]], axis=1)
         c = np.take_along_axis(c, np.argsort(-np.take_along_axis(block, c, 1), axis=1, kind="stable"), 1)
         own = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(block, c, 1), 0))
-        among = np.sqrt(np.maximum(2 - 2 * np.einsum("bid,bjd->bij", x[c], x[c], optimize=True), 0))
-        alive, chosen = np.ones(c.shape, bool), np.zeros(c.shape, bool)
+        among = np.sqrt(np.maximum(2 - 2 * np.matmul(x[c], x[c].transpose(0, 2, 1)), 0))
+        alive, chosen = c != (rows + lo)[:, None], np.zeros(c.shape, bool)
         for _ in range(min(DEGREE, near)):
             k = alive.argmax(1)
-            some = alive[rows, k]
-            if not some.any():
+            left = alive[rows, k]
+            if not left.any():
                 break
-            chosen[rows[some], k[some]] = True
-            alive &= (ALPHA * among[rows, k] > own) | ~some[:, None]
+            chosen[rows[left], k[left]] = True
+            alive &= (ALPHA * among[rows, k] > own) | ~left[:, None]
             alive[rows, k] = False
-        out += [ci[mi] for ci, mi in zip(c, chosen, strict=True)]
-    return out
+        i, k = np.nonzero(chosen)
+        out.append(np.stack([i + lo, c[i, k]], 1))
+    return np.concatenate(out)
 
 
 def centres_of(x: np.ndarray, count: int, rounds: int = 4) -> np.ndarray:
@@ -87,43 +97,63 @@ def centres_of(x: np.ndarray, count: int, rounds: int = 4) -> np.ndarray:
     return c
 
 
-def flat_graph(x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """(united adjacency of the overlapping shards, medoid of each shard)."""
+def flat_graph(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, neighbours, medoids): the united adjacency of the overlapping shards and the medoid of each shard; row i has neighbours[begin[i] : begin[i + 1]]."""
     c = centres_of(x, max(1, round(len(x) / SHARD)))
     near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :2]
-    lists: list[list[np.ndarray]] = [[] for _ in range(len(x))]
-    medoids = []
+    edges, medoids = [np.empty((0, 2), np.int64)], []
     for k in range(len(c)):
         rows = np.flatnonzero((near == k).any(1))
         if not len(rows):
             continue
-        medoids.append(rows[(x[rows] @ x[rows].mean(0)).argmax()])
-        for i, own in zip(rows.tolist(), robust_prune(x[rows]), strict=True):
-            lists[i].append(rows[own])
-            for j in rows[own].tolist():  # both ways, so that every point can be reached
-                lists[j].append(np.array([i]))
-    return [np.unique(np.concatenate(own)) if own else np.empty(0, np.int64) for own in lists], np.array(medoids)
-
-
-def range_search(x: np.ndarray, graph: list[np.ndarray], query: np.ndarray, entry: int, least: float) -> np.ndarray:
-    """Rows with dot product >= least that a walk from ``entry`` finds."""
-    seen = np.zeros(len(x), bool)
-    seen[entry] = True
-    n, s, opened = np.array([entry]), x[[entry]] @ query, np.zeros(1, bool)
-    while True:
-        todo = np.flatnonzero(~opened & ((np.arange(len(n)) < BEAM) | (s >= least)))
-        if not len(todo):
-            return n[s >= least]
-        inside = todo[s[todo] >= least]
-        step = inside if len(inside) else todo[:4]
-        opened[step] = True
-        new = np.unique(np.concatenate([graph[i] for i in n[step].tolist()]))
-        new = new[~seen[new]]
-        seen[new] = True
-        n, s, opened = np.concatenate([n, new]), np.concatenate([s, x[new] @ query]), np.concatenate([opened, np.zeros(len(new), bool)])
-        order = np.argsort(-s, kind="stable")
-        keep = order[(np.arange(len(order)) < BEAM) | (s[order] >= least)]
-        n, s, opened = n[keep], s[keep], opened[keep]
+        medoid = rows[(x[rows] @ x[rows].mean(0)).argmax()]
+        medoids.append(medoid)
+        # large shards, as of one dense group, are cut: their parts share their medoid
+        for part in np.array_split(rows, -(-len(rows) // (4 * SHARD))):
+            edges.append(part[robust_prune(x[part])])
+            edges.append(np.stack([part[:: max(1, len(part) // 8)], np.full(len(part[:: max(1, len(part) // 8)]), medoid)], 1))
+    e = np.concatenate(edges)
+    e = np.concatenate([e, e[:, ::-1]])  # both ways, so that every point can be reached
+    key = np.unique(e[e[:, 0] != e[:, 1]] @ np.array([len(x), 1]))
+    return np.searchsorted(key, np.arange(len(x) + 1) * len(x)), key % len(x), np.array(medoids)
+
+
+def range_search(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray, np.ndarray], queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``queries``, row) of the rows with dot product >= least that searches from the nearest medoids and from the queries' own rows find."""
+    begin, neighbours, medoids = graph
+    found = []
+    for lo in range(0, len(queries), TOGETHER):
+        own = queries[lo : lo + TOGETHER]
+        seen = np.zeros((len(own), len(x)), bool)
+        entry = medoids[(x[own] @ x[medoids].T).argmax(1)]
+        q, v = np.concatenate([np.arange(len(own))] * 2), np.concatenate([own, entry])
+        key = np.unique(q * len(x) + v)
+        q, v = key // len(x), key % len(x)
+        seen[q, v] = True
+        s, opened = (x[own[q]] * x[v]).sum(1), np.zeros(len(q), bool)
+        while True:
+            order = np.lexsort((-s, q))
+            q, v, s, opened = q[order], v[order], s[order], opened[order]
+            first = np.searchsorted(q, np.arange(len(own)))
+            keep = (np.arange(len(q)) - first[q] < BEAM) | (s >= least)
+            q, v, s, opened = q[keep], v[keep], s[keep], opened[keep]
+            todo = np.flatnonzero(~opened)
+            if not len(todo):
+                break
+            opened[todo] = True
+            size = begin[v[todo] + 1] - begin[v[todo]]
+            at = np.repeat(begin[v[todo]] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            nq, nv = np.repeat(q[todo], size), neighbours[at]
+            fresh = ~seen[nq, nv]
+            key = np.unique(nq[fresh] * len(x) + nv[fresh])
+            nq, nv = key // len(x), key % len(x)
+            seen[nq, nv] = True
+            new = np.concatenate([np.einsum("ij,ij->i", x[own[nq[i : i + CELLS // 64]]], x[nv[i : i + CELLS // 64]]) for i in range(0, len(nq), CELLS // 64)] or [np.empty(0)])
+            q, v, s = np.concatenate([q, nq]), np.concatenate([v, nv]), np.concatenate([s, new])
+            opened = np.concatenate([opened, np.zeros(len(nq), bool)])
+        inside = s >= least
+        found.append((q[inside] + lo, v[inside]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def visits(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,22 +214,64 @@ def _regions(points: DataFrame, least: float) -> DataFrame:
     return sized.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "point", "v", "copies")
 
 
+def verified(raw: np.ndarray, norm: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs with products ``s`` whose cosine is ``least`` or more, not of a row with itself; close ones are computed anew."""
+    sure = s > least + 1e-9
+    edge = np.flatnonzero(~sure & (s >= least - 1e-9))
+    sure[edge] = [raw[i] @ raw[j] >= least * norm[i] * norm[j] for i, j in zip(a[edge], b[edge], strict=True)]
+    sure &= a != b
+    return a[sure], b[sure]
+
+
 def linked(raw: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (of ``left``, of ``right``) of rows, not the same row, whose cosine is ``least`` or more."""
+    """Pairs (of ``left``, of ``right``) of rows, not the same row, whose cosine is ``least`` or more, by the flat graph; by products where the audit finds that it misses some."""
     raw = raw / np.abs(raw).max(1, keepdims=True)
     norm = np.sqrt((raw * raw).sum(1))
     x = raw / norm[:, None]
+    is_right = np.zeros(len(x), bool)
+    is_right[right] = True
+    graph = flat_graph(x)
+    if _misses(x, graph, left[::AUDITED], is_right, least):
+        yield from _products(raw, norm, x, left, right, least)
+        return
+    for lo in range(0, len(left), 8 * TOGETHER):
+        some = left[lo : lo + 8 * TOGETHER]
+        q, v = range_search(x, graph, some, least - 1e-9)
+        q, v = some[q[is_right[v]]], v[is_right[v]]
+        yield verified(raw, norm, q, v, np.einsum("ij,ij->i", x[q], x[v]), least)
+
+
+def _misses(x: np.ndarray, graph: tuple, queries: np.ndarray, is_right: np.ndarray, least: float) -> bool:
+    """Whether brute force finds more rows within the range of the audited queries than the graph does."""
+    q, v = range_search(x, graph, queries, least)
+    found = np.bincount(q[is_right[v]], minlength=len(queries))
+    right = x[is_right]
+    step = max(1, CELLS // max(1, len(right)))
+    true = [(x[queries[lo : lo + step]] @ right.T >= least + 1e-9).sum(1) for lo in range(0, len(queries), step)]
+    return bool((found < np.concatenate(true)).any()) if true else False
+
+
+def _products(raw: np.ndarray, norm: np.ndarray, x: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     step = max(1, CELLS // max(1, len(right)))
     for lo in range(0, len(left), step):
         some = left[lo : lo + step]
         s = x[some] @ x[right].T
         a, b = np.nonzero(s >= least - 1e-9)
-        sure = s[a, b] > least + 1e-9
-        a, b = some[a], right[b]
-        edge = np.flatnonzero(~sure)
-        sure[edge] = [raw[i] @ raw[j] >= least * norm[i] * norm[j] for i, j in zip(a[edge], b[edge], strict=True)]
-        sure &= a != b
-        yield a[sure], b[sure]
+        yield verified(raw, norm, some[a], right[b], s[a, b], least)
+
+
+def named_groups(name: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``name`` (of each row, a row of its group) with the groups that the pairs join made one, named by its smallest row."""
+    while len(a):
+        low = np.minimum(name[a], name[b])
+        new = name.copy()
+        for end in (name[a], name[b]):
+            np.minimum.at(new, end, low)
+        new = new[new[name]]
+        if (new == name).all():
+            break
+        name = new
+    return name
 
 
 def _found(regions: DataFrame, least: float) -> DataFrame:
@@ -211,15 +283,11 @@ def _found(regions: DataFrame, least: float) -> DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         far, name = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for a, b in linked(raw, left, right, least):
+        for a, b in linked(raw, left, right, least) if len(left) and len(right) else ():
             far += np.bincount(a, weights=copies[b], minlength=len(ids)).astype(np.int64)
             if i != j:  # within a block a pair is seen from both sides
                 far += np.bincount(b, weights=copies[a], minlength=len(ids)).astype(np.int64)
-            begin = np.flatnonzero(np.diff(a, prepend=-1))
-            for k, near in zip(a[begin].tolist(), np.split(b, begin[1:]), strict=True) if len(a) else ():
-                met = np.unique(np.append(name[near], name[k]))
-                if len(met) > 1:
-                    name[np.isin(name, met)] = met[0]
+            name = named_groups(name, a, b)
         some = np.flatnonzero(far)
         return pd.DataFrame({"a": ids[some], "b": ids[name[some]], "far": far[some]})
 

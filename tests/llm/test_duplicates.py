@@ -94,18 +94,46 @@ def test_embeddings_equal_brute_force(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
-@pytest.mark.parametrize("n", [1, 5, 700])
-def test_flat_graph_reaches_every_near_vector(n):
-    rng = np.random.default_rng(n)
-    x = embeddings.unit(list(rng.normal(size=(n, 8))))
-    graph, medoids = embeddings.flat_graph(x)
-    found = expected = 0
-    for q in x[:100]:
-        near = set(np.flatnonzero(x @ q >= 0.9).tolist())
-        got = set(embeddings.range_search(x, graph, q, medoids[(x[medoids] @ q).argmax()], 0.9).tolist())
-        assert got <= near
-        found, expected = found + len(got), expected + len(near)
-    assert found >= 0.9 * expected
+@pytest.mark.parametrize("kind", ["one", "few", "random", "dense", "tight"])
+def test_flat_graph_finds_what_is_near(kind):
+    rng = np.random.default_rng(3)
+    x = {
+        "one": rng.normal(size=(1, 8)), "few": rng.normal(size=(5, 8)), "random": rng.normal(size=(3000, 8)),
+        "dense": rng.normal(size=64) + 0.23 * rng.normal(size=(2500, 64)), "tight": np.repeat(rng.normal(size=(8, 64)), 120, axis=0) + 0.05 * rng.normal(size=(960, 64)),
+    }[kind]
+    x = embeddings.unit(list(x))
+    graph = embeddings.flat_graph(x)
+    queries = np.arange(len(x))[::7]
+    q, v = embeddings.range_search(x, graph, queries, 0.93)
+    assert ((x[queries[q]] * x[v]).sum(1) >= 0.93 - 1e-12).all() and len(set(zip(q.tolist(), v.tolist(), strict=True))) == len(q)
+    assert len(q) >= 0.99 * (x[queries] @ x.T >= 0.93).sum()
+
+
+def test_graph_that_misses_is_replaced(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=16) + 0.2 * rng.normal(size=(300, 16))
+    monkeypatch.setattr(embeddings, "range_search", lambda x, graph, queries, least: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    found = [p for a, b in embeddings.linked(x, np.arange(300), np.arange(300), 0.93) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    u = embeddings.unit(list(x))
+    assert set(found) == {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.93), strict=True) if i != j}
+
+
+@pytest.mark.parametrize("region", [60, 400])
+def test_audit_over_several_overlapping_regions(spark, monkeypatch, region):
+    monkeypatch.setattr(embeddings, "REGION", region)
+    rng = np.random.default_rng(10)
+    x = np.repeat(rng.normal(size=(300, 16)), 4, axis=0) + 0.15 * rng.normal(size=(1200, 16))
+    df = spark.createDataFrame([(i, [float(c) for c in v], i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert embeddings.audit(df) >= 0.9
+
+
+def test_cosine_at_the_threshold(spark):
+    a = [1.0, 0.0]
+    edge = [0.93, float(np.sqrt(1 - 0.93**2))]
+    rows = [(1, a, 1), (2, edge, 1), (3, [0.9299999, float(np.sqrt(1 - 0.9299999**2))], 1), (4, [-1.0, 0.0], 1)]
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    cos = np.dot(a, edge) / (np.linalg.norm(a) * np.linalg.norm(edge))
+    assert got[4] == 0 and got[1] == int(cos >= 0.93) and got[3] == 1
 
 
 def _all_pairs(x):
