@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from ._store import files, small_batches, staged, workspace
 
 WIDTH = 64
+#: Bytes of stored payloads that one task reads.
+TASK_BYTES = 8 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
 MANIFEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, shard string, at long, size long"
@@ -153,7 +155,8 @@ def _places(manifest: DataFrame) -> DataFrame:
     """One place for each payload, dealt by shard and place in it."""
     one = manifest.groupBy("payload_sha256").agg(F.min(F.struct("shard", "at", "size")).alias("p")).select("payload_sha256", "p.*")
     # ranges of a shard go to several tasks, so that a large shard is no task of its own
-    return one.repartition("shard", (F.col("at") / (4 << 20)).cast("long")).sortWithinPartitions("shard", "at")
+    tasks = -(-(one.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES) or 1  # by the payloads' bytes, which the rows' own do not tell
+    return one.repartition(int(tasks), "shard", (F.col("at") / (1 << 20)).cast("long")).sortWithinPartitions("shard", "at")
 
 
 def read_headers(manifest: DataFrame, uri: str) -> DataFrame:
@@ -175,11 +178,11 @@ def read_headers(manifest: DataFrame, uri: str) -> DataFrame:
 
 
 def read_features(manifest: DataFrame, uri: str) -> DataFrame:
-    """A row per payload from its stored form: metadata columns of the header, digests and feature.
+    """A row per payload from its whole stored form: digests and feature.
 
     ``payload_sha256`` is that of the decoded samples; a form that decodes to another payload fails.
     """
-    out = "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, bit_depth int, feature string"
+    out = "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(parts):
         import pandas as pd
@@ -192,22 +195,21 @@ def read_features(manifest: DataFrame, uri: str) -> DataFrame:
                 if name != shard:
                     shard, source = name, fs.open_input_file(f"{root}/{name}")
                 source.seek(at)
-                head = source.read(HEADER_BYTES)
-                width, height, depth, _ = header(head)
-                media = head + source.read(size - len(head))
+                media = source.read(size)
                 payload = decode(media)
                 found = hashlib.sha256(payload).hexdigest()
                 if found != sha:
                     raise ValueError(f"{name} at {at}: stored payload differs")
-                rows.append((found, zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), width, height, depth, fingerprint(payload)))
+                rows.append((found, zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), fingerprint(payload)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
 
     return _places(manifest).mapInPandas(run, out)
 
 
 def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", uri: str | None = None) -> DataFrame:
-    """Every whole text as a stored PNG, read back: a row per document with the columns of ``read_features``,
-    doc_id, n_bytes, payload_bytes and its place (shard, at, size).
+    """Every whole text as a stored PNG, read back: a row per document with the columns of ``read_headers``,
+    which come from range reads of the headers alone, those of ``read_features``, doc_id, n_bytes,
+    payload_bytes and its place (shard, at, size).
 
     Null and empty texts: one row of 64 zero samples. Equal texts share a payload.
     Repeated rows each get a row; an empty table gives none; other columns are not
@@ -218,6 +220,6 @@ def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     uri = uri or workspace(spark, "media")
     manifest = staged(store(docs, uri, id_col=id_col, payload=F.encode(F.col(text_col), "utf-8")), "media-manifest")
     places = manifest.groupBy("payload_sha256").agg(F.min(F.struct("shard", "at", "size")).alias("_p"))
-    found = read_features(manifest, uri).join(places, "payload_sha256")
+    found = read_features(manifest, uri).join(read_headers(manifest, uri), "payload_sha256").join(places, "payload_sha256")
     rows = manifest.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
     return rows.join(found, "payload_sha256").select("*", "_p.shard", "_p.at", "_p.size").drop("_p")

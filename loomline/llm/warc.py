@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from ._store import files, small_batches, staged, workspace
 
+#: Bytes of records that one task reads.
+TASK_BYTES = 16 << 20
 _SKIP, _SEEK = 0x184D2A5E, 0x8F92EAB1
 INDEX = "page_id long, bundle string, frame int, at long, size long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -194,7 +196,8 @@ def read(index: DataFrame, uri: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
             yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "at").mapInPandas(run, RECORD)
+    tasks = -(-(index.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES) or 1  # by the records' bytes, which the index's own do not tell
+    return index.repartition(int(tasks), "bundle", "frame").sortWithinPartitions("bundle", "frame", "at").mapInPandas(run, RECORD)
 
 
 def archive(pages: DataFrame, *, uri: str | None = None, min_bytes: int = 0) -> DataFrame:
