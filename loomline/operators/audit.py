@@ -23,35 +23,44 @@ def source_of(source: Column, row_id: Column) -> Column:
     )
 
 
+#: The flags of a row, in the order in which they are listed.
+FLAGS = ["empty-or-tiny", "very-long", "whole-document", "num-mapped", "dup-law-num", "polluted-interleave", "narrow-no-furniture"]
+
+
 def narrow_column(text: Column) -> Column:
-    """Whether the upper median length of blank-separated fragments is small."""
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), T.SPACES), lambda w: w != "")
-    return (F.size(parts) > 0) & (T.upper_median(F.transform(parts, F.length)) < NARROW)
+    """Whether the upper median length of blank-separated fragments is small: more than half of them are short, or half of an odd rest."""
+    text, inside = F.coalesce(text, F.lit("")), f"[^{T.SPACE_CLASS}]"
+    every = F.regexp_count(text, F.lit(f"{inside}+"))
+    short = F.regexp_count(text, F.lit(f"(?<!{inside}){inside}{{1,{NARROW - 1}}}(?!{inside})"))
+    return (every > 0) & (short >= F.floor(every / 2) + 1)
 
 
 def row_flags(rows: DataFrame) -> DataFrame:
     """rows (id, law, num, text, source, unit, num_origin) with ``flags`` and ``origin``."""
     text = F.coalesce("text", F.lit(""))
-    twice = F.count("*").over(Window.partitionBy("law", "num")) > 1
-    d = rows.withColumn("origin", source_of(F.col("source"), F.col("id"))).withColumn("_dup", twice).withColumn("_narrow", narrow_column(F.col("text")))
+    # pairs are counted and joined, so that no frequent pair gathers its rows and texts in one task
+    twice = duplicate_pairs(rows).select(F.struct("law", "num").alias("_pair"))
+    d = rows.withColumn("origin", source_of(F.col("source"), F.col("id"))).withColumn("_narrow", narrow_column(F.col("text")))
+    d = d.join(twice, F.struct("law", "num").eqNullSafe(F.col("_pair")), "left").withColumn("_dup", F.col("_pair").isNotNull()).drop("_pair")
     furniture = F.contains(text, F.lit(FURNITURE)) | text.rlike(PAGE_MARK)
     gazette = (F.col("origin") == GAZETTE) & F.col("_narrow")
-    flags = [
-        ("empty-or-tiny", F.length(T.squeeze(text)) < TINY),
-        ("very-long", F.length(text) > VERY_LONG),
-        ("whole-document", (F.col("num") == WHOLE) | (F.col("unit") == "whole-document")),
-        ("num-mapped", F.col("num_origin").isNotNull() & ~F.col("num_origin").eqNullSafe(F.col("num"))),
-        ("dup-law-num", F.col("_dup")),
-        ("polluted-interleave", gazette & furniture),
-        ("narrow-no-furniture", gazette & ~furniture),
+    tests = [
+        F.length(T.squeeze(text)) < TINY,
+        F.length(text) > VERY_LONG,
+        (F.col("num") == WHOLE) | (F.col("unit") == "whole-document"),
+        F.col("num_origin").isNotNull() & ~F.col("num_origin").eqNullSafe(F.col("num")),
+        F.col("_dup"),
+        gazette & furniture,
+        gazette & ~furniture,
     ]
-    found = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in flags)), lambda x: x.isNotNull())
+    found = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in zip(FLAGS, tests, strict=True))))
     return d.withColumn("flags", found).drop("_dup", "_narrow")
 
 
-def audit(flagged: DataFrame, by: str) -> DataFrame:
-    """``by``, rows, flagged (sum of flags), then a count of each flag."""
-    return flagged.groupBy(by).agg(F.count("*").alias("rows"), F.sum(F.size("flags")).alias("flagged"))
+def audit(flagged: DataFrame, *by: str) -> DataFrame:
+    """The columns ``by``, rows, flagged (sum of flags, not of rows), then a count of each flag, its name with underscores."""
+    each = (F.count_if(F.array_contains("flags", n)).alias(n.replace("-", "_")) for n in FLAGS)
+    return flagged.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(F.size("flags")).alias("flagged"), *each)
 
 
 def flag_counts(flagged: DataFrame) -> DataFrame:
@@ -59,7 +68,7 @@ def flag_counts(flagged: DataFrame) -> DataFrame:
 
 
 def problem_laws(flagged: DataFrame, most: int = 20) -> DataFrame:
-    return audit(flagged, "law").filter("flagged > 0").orderBy(F.desc("flagged"), "law").limit(most)
+    return audit(flagged, "law").filter("flagged > 0").orderBy(F.desc("flagged"), "law").limit(most).select("law", "rows", "flagged")
 
 
 def duplicate_pairs(rows: DataFrame) -> DataFrame:
@@ -82,10 +91,48 @@ def coverage(catalog: DataFrame, rows: DataFrame) -> DataFrame:
     return once.join(have, "key", "left").select("title", F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
+def uncovered(found: DataFrame) -> DataFrame:
+    """title of what no row covers, by title."""
+    return found.filter("not covered").select("title").orderBy("title")
+
+
+def title_duplicates(catalog: DataFrame) -> DataFrame:
+    """key, titles: different titles of a catalogue that are one when normalised."""
+    keys = catalog.select(T.normalize_title(F.col("title")).alias("key"), "title").distinct().groupBy("key")
+    return keys.agg(F.array_sort(F.collect_set("title")).alias("titles")).filter(F.size("titles") > 1)
+
+
+def title_matches(key: Column, title: Column) -> Column:
+    """Whether a title is the key or ends with it; an empty key matches nothing."""
+    return (F.length(key) > 0) & ((title == key) | F.endswith(title, key))
+
+
+def source_status(laws: DataFrame, sources: DataFrame, key=T.norm_title) -> DataFrame:
+    """law, source: the source (title) with the law's normalised title, the smallest of several, null where there is none."""
+    named = sources.select(key(F.col("title")).alias("_key"), "title").groupBy("_key").agg(F.min("title").alias("source"))
+    return laws.select("law").distinct().withColumn("_key", key(F.col("law"))).join(named, "_key", "left").select("law", "source")
+
+
 def coverage_rate(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("total"), F.count_if("covered").alias("covered"), F.round(F.avg(F.col("covered").cast("int")), 6).alias("rate"))
 
 
+def catalog_tree(documents: DataFrame, levels: int = 6) -> DataFrame:
+    """subject, title, id, has_body of JSON catalogues (value) nested ``levels`` deep at most: every node below a subject, with whether it has a body.
+
+    Each level is one explode of the level before; deeper nodes are left out.
+    """
+    node = "struct<title:string,id:long,children:string>"
+    level = documents.select(F.explode(F.from_json("value", f"array<{node}>")).alias("n")).select(F.trim("n.title").alias("subject"), "n.children")
+    out = None
+    for _ in range(levels):
+        below = level.select("subject", F.explode(F.from_json("children", f"array<{node}>")).alias("n"))
+        part = below.select("subject", F.trim("n.title").alias("title"), "n.id", (F.coalesce(F.json_array_length("n.children"), F.lit(0)) > 0).alias("has_body"))
+        out = part if out is None else out.unionByName(part)
+        level = below.select("subject", "n.children")
+    return out
+
+
 def catalog_titles(tree: DataFrame) -> DataFrame:
     """subject, title, has_body of a catalogue tree (title, children of title, id, children)."""
     return tree.select(F.col("title").alias("subject"), F.explode("children").alias("c")).select("subject", F.col("c.title").alias("title"), F.col("c.id").isNotNull().alias("has_body"))

@@ -6,6 +6,7 @@ model, variant, vec. The query set is a stated one, held against all rows.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -13,34 +14,114 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from .grams import best
 from .retrieval import RRF_K, ranked
 
 # Weights of semantic and cross-encoder ranks, cross-encoded head, pool size, promoted rows at most, rows a judge sees.
 W_SEMANTIC, W_CROSS, CROSS_HEAD, POOL, PROMOTE, JUDGED = 2.0, 3.0, 10, 50, 5, 50
+#: Query vectors of one call; they and a block of similarities fit each task.
+QUERY_VECTORS = 1 << 15
+
+
+def _asked(queries: DataFrame) -> tuple[list, dict]:
+    """The query vectors as rows, and by model a matrix of them with their numbers. The set is a stated one of at most ``QUERY_VECTORS``."""
+    rows = queries.select("qid", "model", "variant", F.transform("vec", lambda x: x.cast("double")).alias("vec")).limit(QUERY_VECTORS + 1).collect()
+    if len(rows) > QUERY_VECTORS:
+        raise ValueError(f"more than {QUERY_VECTORS} query vectors; hand them over in parts")
+    by_model: dict[str, tuple[list[int], list]] = {}
+    for i, r in enumerate(rows):
+        numbers, vectors = by_model.setdefault(r.model, ([], []))
+        numbers.append(i)
+        vectors.append(r.vec)
+    return rows, {m: (np.array(n), np.array(v, float)) for m, (n, v) in by_model.items()}
+
+
+def _blocks(parts, asked):
+    """(query numbers, row numbers, matrix of similarities rounded to 6 digits) of each batch of vectors and model."""
+    for pdf in parts:
+        for model, own in pdf.groupby("model", sort=False):
+            if model not in asked:
+                continue
+            numbers, q = asked[model]
+            rows = own["row_idx"].to_numpy()
+            x = np.stack([np.asarray(v, float) for v in own["vec"]])
+            for lo in range(0, len(x), step := max(1, (1 << 22) // len(q))):
+                yield numbers, rows[lo : lo + step], np.round(q @ x[lo : lo + step].T, 6)
+
+
+def _named(found: DataFrame, rows: list, queries: DataFrame) -> DataFrame:
+    kind = queries.schema["qid"].dataType.simpleString()
+    names = found.sparkSession.createDataFrame([(i, r.qid, r.model, r.variant) for i, r in enumerate(rows)], f"_q long, qid {kind}, model string, variant string")
+    return found.join(F.broadcast(names), "_q").drop("_q")
+
+
+def similarities(vectors: DataFrame, queries: DataFrame, within: int | None = None) -> DataFrame:
+    """qid, model, variant, row_idx, sim rounded to 6 digits; ``within``: only rows that can be among a query vector's first so many."""
+    rows, asked = _asked(queries)
+    shared = vectors.sparkSession.sparkContext.broadcast(asked)
 
+    def run(parts):
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        for numbers, ids, sim in _blocks(parts, shared.value):
+            new = [np.repeat(numbers, len(ids)), np.tile(ids, len(numbers)), sim.ravel()]
+            if within is None:
+                yield pd.DataFrame(dict(zip(("_q", "row_idx", "sim"), new, strict=True)))
+                continue
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            held = [x[best(held[0], [-held[2], held[1]], within)] for x in held]
+        yield pd.DataFrame(dict(zip(("_q", "row_idx", "sim"), held, strict=True)))
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, p: s + p)
-
-
-def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid, model, variant, row_idx, sim rounded to 6 digits."""
-    q = queries.select("qid", "model", "variant", F.col("vec").alias("_q"))
-    return vectors.join(q, "model").select("qid", "model", "variant", "row_idx", F.round(dot("vec", "_q"), 6).alias("sim"))
+    found = vectors.select(F.col("row_idx").cast("long").alias("row_idx"), "model", "vec").mapInPandas(run, "_q long, row_idx long, sim double")
+    return _named(found, rows, queries).select("qid", "model", "variant", "row_idx", "sim")
 
 
 def semantic_ranks(vectors: DataFrame, queries: DataFrame, within: int | None = None) -> DataFrame:
     """qid, row_idx, sem: the smallest rank over models and variants.
 
     ``within``: ranks beyond it are left out, which lets each task keep only so many
-    rows of a query. Ranks that a caller compares among few rows need no more.
+    rows of a query. For the ranks of few rows see ``ranks_among``.
     """
     w = Window.partitionBy("qid", "model", "variant").orderBy(F.desc("sim"), "row_idx")
-    ranks = similarities(vectors, queries).withColumn("r", F.row_number().over(w))
+    ranks = similarities(vectors, queries, within).withColumn("r", F.row_number().over(w))
     ranks = ranks if within is None else ranks.filter(F.col("r") <= within)
     return ranks.groupBy("qid", "row_idx").agg(F.min("r").alias("sem"))
 
 
+def ranks_among(vectors: DataFrame, queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """qid, row_idx, sem of the hits (qid, row_idx) alone: one more than the vectors that are nearer to a query.
+
+    Tasks count, so that what is moved grows with the hits and not with the vectors.
+    Hits without a vector are left out.
+    """
+    rows, asked = _asked(queries)
+    own = hits.select("qid", "row_idx").distinct().join(vectors.select(F.col("row_idx"), "model", "vec"), "row_idx")
+    few = own.select("row_idx", "model", "vec").distinct()
+    sims = similarities(few, queries).join(hits.select("qid", "row_idx").distinct(), ["qid", "row_idx"])
+    found = sims.collect()  # a ranking's rows for each of the stated queries
+    number = {(r.qid, r.model, r.variant): i for i, r in enumerate(rows)}
+    wanted: dict[int, list] = {}
+    for r in found:
+        wanted.setdefault(number[r.qid, r.model, r.variant], []).append((r.sim, r.row_idx))
+    order = {q: (np.array([s for s, _ in v]), np.array([i for _, i in v], np.int64)) for q, v in wanted.items()}
+    shared = vectors.sparkSession.sparkContext.broadcast((asked, order))
+
+    def run(parts):
+        asked, order = shared.value
+        nearer = {q: np.zeros(len(s), np.int64) for q, (s, _) in order.items()}
+        for numbers, ids, sim in _blocks(parts, asked):
+            for q, line in zip(numbers.tolist(), sim, strict=True):
+                if q in order:
+                    s, i = order[q]
+                    nearer[q] += ((line[None, :] > s[:, None]) | ((line[None, :] == s[:, None]) & (ids[None, :] < i[:, None]))).sum(1)
+        for q, n in nearer.items():
+            yield pd.DataFrame({"_q": q, "row_idx": order[q][1], "n": n})
+
+    counted = vectors.select(F.col("row_idx").cast("long").alias("row_idx"), "model", "vec").mapInPandas(run, "_q long, row_idx long, n long")
+    ranks = counted.groupBy("_q", "row_idx").agg((F.sum("n") + 1).cast("int").alias("r"))
+    return _named(ranks, rows, queries).groupBy("qid", "row_idx").agg(F.min("r").alias("sem"))
+
+
 def semantic_pool(vectors: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:
     """qid, rank, row_idx, score = 1 / (60 + semantic rank): the k best."""
     found = semantic_ranks(vectors, queries, k).withColumn("score", F.round(1.0 / (RRF_K + F.col("sem")), 9))
@@ -87,19 +168,94 @@ def promote(hits: DataFrame, picks: DataFrame, most: int = PROMOTE, seen: int =
 
 
 def pick_numbers(answers: DataFrame) -> DataFrame:
-    """(qid, answer) -> (qid, ord, number): the first bracketed list of integers; an unreadable one gives no rows."""
+    """(qid, answer) -> (qid, ord, number): the first bracketed list of whole numbers; empty places are passed over, and
+    one that is no number voids the answer, which then gives no rows."""
     inner = F.regexp_extract("answer", r"\[([0-9,\s]+)\]", 1)
-    return answers.select("qid", F.posexplode(F.split(inner, ",")).alias("ord", "_n")).select("qid", "ord", F.expr("try_cast(trim(_n) AS int)").alias("number")).filter("number is not null")
-
-
-def judge_rerank(hits: DataFrame, scores: DataFrame, seen: int = JUDGED) -> DataFrame:
-    """Typed judgement: scores (qid, row_idx, judge_score) of the first ``seen`` hits; a missing one counts 0, ties keep order, the rest follows."""
+    parts = F.filter(F.transform(F.split(inner, ","), lambda x: T.collapse(x)), lambda x: x != "")
+    read = answers.select("qid", parts.alias("_p")).filter(F.forall("_p", lambda x: ~x.contains(" ")))
+    return read.select("qid", F.posexplode("_p").alias("ord", "_n")).select("qid", "ord", F.expr("try_cast(_n AS int)").alias("number")).filter("number is not null")
+
+
+def judge_requests(hits: DataFrame, mode: str = "choice", seen: int = JUDGED, most: int = 400) -> DataFrame:
+    """qid, request: a typed judge's JSON for hits (qid, rank, query, law, num, text), one choice among all candidates or a score for each."""
+    line = candidate_line(F.col("rank"), F.col("law"), F.col("num"), F.coalesce("text", F.lit("")), most)
+    lines = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
+    d = hits.filter(F.col("rank") <= seen).groupBy("qid").agg(F.first("query").alias("query"), lines.alias("lines"))
+    if mode == "choice":
+        options = F.map_from_entries(F.transform("lines", lambda x: F.struct(x["rank"].cast("string"), x["line"])))
+        asked = F.create_map(F.lit("rank"), F.struct(F.lit("choice").alias("type"), options.alias("criteria")))
+        return d.select("qid", F.to_json(F.struct(F.col("query").alias("state"), asked.alias("questions"))).alias("request"))
+    one = F.struct(F.lit("score").alias("type"), F.array(*(F.lit(str(i)) for i in range(4))).alias("criteria"))
+    asked = F.map_from_entries(F.transform("lines", lambda x: F.struct(F.concat(F.lit("c"), x["rank"].cast("string")), one)))
+    state = F.concat_ws("\n", F.col("query"), F.transform("lines", lambda x: x["line"]))
+    return d.select("qid", F.to_json(F.struct(state.alias("state"), asked.alias("questions"))).alias("request"))
+
+
+def judge_scores(answers: DataFrame, hits: DataFrame, mode: str = "choice", seen: int = JUDGED) -> DataFrame:
+    """qid, row_idx, judge_score of a typed judge's answers (qid, answer: JSON); candidates without a value count 0, an answer without any is void."""
+    if mode == "choice":
+        read = F.from_json("answer", "answers struct<rank:struct<probabilities:map<string,double>>>")["answers"]["rank"]["probabilities"]
+        name = F.col("rank").cast("string")
+    else:
+        scored = F.from_json("answer", "answers map<string,struct<score:double>>")["answers"]
+        read = F.when(F.size(scored) > 0, F.transform_values(scored, lambda _, v: v["score"]))
+        name = F.concat(F.lit("c"), F.col("rank").cast("string"))
+    told = answers.select("qid", read.alias("_a")).filter("_a is not null")
+    value = F.coalesce(F.try_element_at("_a", name), F.lit(0.0))
+    return hits.filter(F.col("rank") <= seen).join(told, "qid").select("qid", "row_idx", value.alias("judge_score"))
+
+
+def judge_rerank(hits: DataFrame, scores: DataFrame, seen: int = JUDGED, pick: int | None = None) -> DataFrame:
+    """Typed judgement: scores (qid, row_idx, judge_score) of the first ``seen`` hits; a missing one counts 0, ties keep order.
+
+    The best ``pick`` move to the front (all by default), the others keep their order
+    behind them. judge_rank and judge_pick tell what the judge said; a query without
+    scores stays as it is.
+    """
     d = hits.select("qid", F.col("rank").alias("_in"), "row_idx").join(scores, ["qid", "row_idx"], "left")
-    head = F.col("_in") <= seen
-    d = d.withColumn("judge_score", F.when(head, F.coalesce("judge_score", F.lit(0.0))))
     judged = scores.select("qid").distinct().withColumn("_judged", F.lit(True))
-    d = d.join(judged, "qid", "left").withColumn("_key", F.when(F.col("_judged") & head, F.col("judge_score")))
-    return ranked(d, [F.desc_nulls_last("_key"), F.col("_in")], None).select("qid", "rank", "row_idx", "judge_score")
+    d = d.join(judged, "qid", "left").withColumn("_head", F.coalesce("_judged", F.lit(False)) & (F.col("_in") <= seen))
+    d = d.withColumn("judge_score", F.when(F.col("_in") <= seen, F.coalesce("judge_score", F.lit(0.0))))
+    place = F.row_number().over(Window.partitionBy("qid", "_head").orderBy(F.desc_nulls_last("judge_score"), "_in"))
+    d = d.withColumn("judge_rank", F.when(F.col("_head"), place))
+    chosen = F.col("_head") if pick is None else F.coalesce(F.col("judge_rank") <= pick, F.lit(False))
+    d = d.withColumn("judge_pick", chosen.cast("int"))
+    front = F.when(F.col("judge_pick") == 1, F.col("judge_rank"))
+    return ranked(d, [front.asc_nulls_last(), F.col("_in")], None).select("qid", "rank", "row_idx", "judge_score", "judge_rank", "judge_pick")
+
+
+def contract_violations(hits: DataFrame, reranked: DataFrame) -> DataFrame:
+    """qid, fault: where a reranker did more than reorder and cut a ranking (strange or repeated rows, nothing left, gaps in ranks)."""
+    strange = reranked.join(hits.select("qid", "row_idx"), ["qid", "row_idx"], "left_anti").select("qid", F.lit("strange row").alias("fault"))
+    per = reranked.groupBy("qid").agg(F.count("*").alias("n"), F.countDistinct("row_idx").alias("m"), F.max("rank").alias("top"), F.countDistinct("rank").alias("ranks"))
+    repeated = per.filter("n > m").select("qid", F.lit("repeated row").alias("fault"))
+    gaps = per.filter("top <> n or ranks <> n").select("qid", F.lit("ranks with gaps").alias("fault"))
+    empty = hits.select("qid").distinct().join(reranked.select("qid"), "qid", "left_anti").select("qid", F.lit("nothing left").alias("fault"))
+    return strange.unionByName(repeated).unionByName(gaps).unionByName(empty).distinct()
+
+
+def retried(call: Callable, attempts: int = 3, pauses: tuple[float, ...] = (1.0, 2.0), transient: Callable[[Exception], bool] = lambda e: isinstance(e, (OSError, TimeoutError))):
+    """``call`` with up to ``attempts`` tries where ``transient`` says that an error may pass; other errors go through at once.
+
+    A task may run again, so ``call`` must not mind being repeated.
+    """
+
+    def tried(*args):
+        for k in range(attempts):
+            try:
+                return call(*args)
+            except Exception as e:
+                if k == attempts - 1 or not transient(e):
+                    raise
+                time.sleep(pauses[min(k, len(pauses) - 1)] if pauses else 0)
+
+    return tried
+
+
+def first_available(judges: dict[str, Callable[[], bool]], wanted: str = "auto") -> str | None:
+    """The judge asked for if its probe says it is there; for ``auto`` the first whose probe does; else none."""
+    names = list(judges) if wanted == "auto" else [wanted]
+    return next((name for name in names if name in judges and judges[name]()), None)
 
 
 def model_scores(pairs: DataFrame, scorer: Callable[[], Callable[[list[str], list[str]], list[float]]], batch: int = 32) -> DataFrame:

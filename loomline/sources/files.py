@@ -13,10 +13,26 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 ARTICLE_SCHEMA = "row_idx long, id string, law string, num string, text string, meta map<string,string>"
+REVIEWED = ["qid", "query", "law", "num", "gold_laws", "evidence", "source_site", "source_url"]
 GOLD_SCHEMA = "qid string, query string, question string, gold_id long, law string, num string, gold_ids array<long>, gold_laws array<string>, source_site string, source_url string, evidence string"
 SPEC_SCHEMA = "question string, url string, anchors array<string>, source_site string, verified boolean, prefer_num string, unverified_reason string"
 
 
+def corpus_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A corpus of JSON lines; row_idx is the place of a row in the file, whether or not the file has one.
+
+    Places are counted by the file's offsets: parts in their order, then lines in a part.
+    """
+    lines = spark.read.text(path).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    rows = lines.filter(F.trim("value") != "").withColumn("_s", F.from_json("value", ARTICLE_SCHEMA, {"mode": "FAILFAST"}))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))  # a row a part
+    ahead = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = sizes.select("_part", ahead.alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_at")) - 1
+    placed = rows.withColumn("_inside", inside).join(F.broadcast(begins), "_part")
+    return placed.select((F.col("_ahead") + F.col("_inside")).cast("long").alias("row_idx"), "_s.id", "_s.law", "_s.num", "_s.text", "_s.meta")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines; blank lines are skipped, a malformed one fails the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -33,6 +49,14 @@ def required(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
+def reviewed_gold(spark: SparkSession, path: str) -> DataFrame:
+    """Gold for a review; it has rows, and the columns ``REVIEWED`` of each are filled."""
+    d = required(json_lines(spark, path, GOLD_SCHEMA), [c for c in REVIEWED if c != "gold_laws"])
+    if n := d.filter(F.coalesce(F.size("gold_laws"), F.lit(0)) <= 0).count():
+        raise ValueError(f"{n} rows lack gold_laws")
+    return d
+
+
 def gold_specs(spark: SparkSession, path: str) -> DataFrame:
     """Gold specifications: question and url filled, anchors too unless ``verified`` is false."""
     d = required(json_lines(spark, path, SPEC_SCHEMA), ["question", "url"])
@@ -110,15 +134,61 @@ def paragraphs(spark: SparkSession, path: str, normalized: bool = False) -> Data
     return lines.withColumn("line", T.normalize_line(F.col("line"))) if normalized else lines
 
 
-def directory_index(spark: SparkSession, path: str) -> DataFrame:
+def directory_index(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """key, path, date: of the files of one title the newest, by a date in brackets at the end of the name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    paths = [path] if isinstance(path, str) else list(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path")
     stem = F.regexp_replace(F.element_at(F.split(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "/"), -1), r"\.[^.]*$", "")
     dated = r"[(（](\d{4}-\d{2}-\d{2})[)）]$"
     d = files.select("path", F.regexp_extract(stem, dated, 1).alias("date"), T.mirror_key(F.concat(F.regexp_replace(stem, dated, ""), F.lit(".x"))).alias("key"))
     return d.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("date"), "path"))).filter("r = 1").drop("r")
 
 
+def category_index(spark: SparkSession, path: str, categories: Sequence[str]) -> DataFrame:
+    """``directory_index`` of the files below the folders ``categories`` of ``path`` only, with the category; a title in several is taken from the newest file."""
+    found = directory_index(spark, [f"{path}/{c}" for c in categories])
+    return found.withColumn("category", F.element_at(F.split(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "/"), -2))
+
+
+def database_lines(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """doc, pos, line: the trimmed lines of a text column that are not empty."""
+    lines = F.filter(F.transform(F.split(F.coalesce(content, F.lit("")), "\n"), lambda x: F.trim(T.squeezed_ends(x))), lambda x: x != "")
+    return rows.select(F.col(key).alias("doc"), F.posexplode(lines).alias("pos", "line"))
+
+
+def npz_vectors(spark: SparkSession, path: str, model: str, ids: str = "ids", vectors: str = "vecs") -> DataFrame:
+    """row_idx, model, vec of NumPy archives with an array of ids and a matrix of vectors."""
+
+    def run(parts):
+        import numpy as np
+
+        for pdf in parts:
+            for content in pdf["content"]:
+                with np.load(io.BytesIO(content), allow_pickle=False) as archive:
+                    numbers, matrix = archive[ids], archive[vectors]
+                for lo in range(0, len(numbers), 4096):
+                    part = matrix[lo : lo + 4096].astype(float)
+                    yield pd.DataFrame({"row_idx": numbers[lo : lo + 4096].astype("int64"), "model": model, "vec": list(part)})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("content")
+    return files.mapInPandas(run, "row_idx long, model string, vec array<double>")
+
+
+def misaligned(vectors: DataFrame, corpus: DataFrame) -> DataFrame:
+    """row_idx, fault: vectors without a row, rows without a vector, and rows with several of one model."""
+    v, c = vectors.select("row_idx"), corpus.select("row_idx")
+    strange = v.join(c, "row_idx", "left_anti").select("row_idx", F.lit("no row").alias("fault"))
+    bare = c.join(v, "row_idx", "left_anti").select("row_idx", F.lit("no vector").alias("fault"))
+    many = vectors.groupBy("row_idx", "model").count().filter("count > 1").select("row_idx", F.lit("several vectors").alias("fault"))
+    return strange.unionByName(bare).unionByName(many).distinct()
+
+
+def labelled_path(argument: str) -> tuple[str, str]:
+    """(label, path) of ``LABEL=PATH``, or of a path that is its own label."""
+    label, mark, path = argument.partition("=")
+    return (label.strip(), path.strip()) if mark else (argument.rstrip("/").rpartition("/")[2], argument)
+
+
 def merged_shards(shards: Sequence[DataFrame]) -> DataFrame:
     """Vector shards as one table; a row number that occurs twice is an error of the shards."""
     out = shards[0]
