@@ -1,5 +1,7 @@
 """Registered queries on small tables of their own."""
 
+import hashlib
+
 from loomline.operators import etl
 from loomline.plans import registry
 
@@ -26,13 +28,14 @@ def test_lines_of_articles_are_whole(spark, tmp_path):
     documents(spark, tmp_path, texts)
     lines = registry._labelled(spark, str(tmp_path)).collect()
     assert all(r.line.endswith(texts[r.doc].split("\n")[r.pos]) for r in lines)
-    got = {(r.doc, r.pos): r.line for r in registry.QUERIES["c4_deinterleave"](spark, str(tmp_path)).collect()}
+    got = {(r.doc, r.pos): r.line_md5 for r in registry.QUERIES["c4_deinterleave"](spark, str(tmp_path)).collect()}
     want = etl.deinterleave(spark.createDataFrame([(r.doc, r.pos, r.line) for r in lines], "doc long, pos int, line string")).collect()
-    assert got == {(r.doc, r.pos): r.line for r in want}
+    assert got == {(r.doc, r.pos): hashlib.md5(r.line.encode()).hexdigest() for r in want}
 
 
-def test_every_question_has_the_pool(spark, tmp_path):
+def test_every_question_with_a_vector_has_the_pool(spark, tmp_path):
     documents(spark, tmp_path, ["text"] * 3)
     written(spark, tmp_path, "benchmark", [(i, f"question {i}") for i in range(1100)], "item_id long, text string")
+    written(spark, tmp_path, "embeddings", [(i, [float(i), 1.0], 1) for i in range(1000)], "vec_id long, embedding array<float>, label int")
     pool = registry._pool(spark, str(tmp_path))
-    assert pool.count() == 3300 and pool.select("qid").distinct().count() == 1100
+    assert pool.count() == 1000 * 50 and pool.select("qid").distinct().count() == 1000
