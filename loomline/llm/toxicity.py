@@ -2,7 +2,7 @@
 
 Terms are words and their beginnings of 4 and 5 bytes, without closing
 punctuation, A-Z lower-cased. The vocabulary holds every term of the examples, a
-bounded sample of labelled documents; document frequencies are counted over all
+bounded sample of labelled documents, half of them with the label where there are so many; document frequencies are counted over all
 documents. A term's weight is (1 + log tf) * idf * relevance: its relevance is
 ``FLOOR`` and the root of its log-likelihood ratio with the label for each labelled
 document, so that no term is left out and those that go with the label, for it or
@@ -26,7 +26,7 @@ from ._store import small_batches, staged
 from ._words import Words, batches
 
 #: Bounds of the labelled rows that are learned from and of those that serve as examples.
-SAMPLE_ROWS, MAX_EXAMPLES = 20_000, 2_048
+SAMPLE_ROWS, MAX_EXAMPLES = 20_000, 1_024
 #: Relevance of a term that says nothing of the label.
 FLOOR = 0.02
 _CLOSING = np.isin(np.arange(256), list(b".,;:!?\"')"))
@@ -66,12 +66,12 @@ class BlockMaxIndex:
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 64):
         self.n = len(vectors)
         self.blocks = -(-self.n // block)
-        example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
-        term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)])
+        example = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])
+        term = np.concatenate([np.empty(0, np.int32), *(t for t, _ in vectors)])
         weight = np.concatenate([np.empty(0), *(w for _, w in vectors)])
         order = np.lexsort((example, term))
         self.example, self.weight, term = example[order].astype(np.int32), weight[order], term[order]
-        cell = term * max(self.blocks, 1) + self.example // block
+        cell = term.astype(np.int64) * max(self.blocks, 1) + self.example // block
         begin = np.flatnonzero(np.diff(cell, prepend=-1))
         self.begin = np.append(begin, len(cell))
         self.block_of = (cell[begin] % max(self.blocks, 1)).astype(np.int32)
@@ -130,7 +130,7 @@ class Model:
     steps: tuple[np.ndarray, np.ndarray]  # raw scores from which on a probability holds
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.factor[terms]
+        w = (1 + np.log(counts.astype(float))) * self.factor[terms]
         return w / np.linalg.norm(w)
 
     def vote(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray]:
@@ -158,16 +158,16 @@ def vectors_of(texts: list, vocabulary: np.ndarray) -> list[tuple[np.ndarray, np
     return found
 
 
-def _steps(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators fit of label on raw score, each pool shrunk by half a row of either label."""
+def _steps(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pool-adjacent-violators fit of label on raw score for rows that stand for ``weight`` rows, each pool shrunk by half a row of either label."""
     order = np.argsort(raw, kind="stable")
     pools: list[list[float]] = []
-    for x, y in zip(raw[order].tolist(), label[order].tolist(), strict=True):
+    for x, y, w in zip(raw[order].tolist(), label[order].tolist(), weight[order].tolist(), strict=True):
         if pools and pools[-1][0] == x:
-            pools[-1][1] += y
-            pools[-1][2] += 1
+            pools[-1][1] += y * w
+            pools[-1][2] += w
         else:
-            pools.append([x, y, 1])
+            pools.append([x, y * w, w])
         while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
             _, y2, n2 = pools.pop()
             pools[-1][1] += y2
@@ -189,9 +189,11 @@ def fit(
 ) -> Model | None:
     """Learns from ``labels`` (id_col, label_col 0/1; one of several labels of an id wins by being larger).
 
-    ``sample_rows`` labelled rows at most, those of smallest hash, are read, and the
-    first ``max_examples`` of them that have a term are the examples; document
-    frequencies are those of all ``docs``. Without labelled texts: None.
+    ``sample_rows`` labelled rows at most, those of smallest hash, are read. Of these the
+    first with the label, up to half of ``max_examples``, and the first without it, up
+    to ``max_examples`` in all, are the examples; in the calibration each stands for as
+    many rows of its label as there are for an example. Document frequencies are those
+    of all ``docs``. Without labelled texts: None.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -207,9 +209,11 @@ def fit(
                 for i in np.unique(doc).tolist():
                     found[i] = np.unique(h[doc == i], return_counts=True)
             some = [len(t) > 0 for t, _ in found]
-            yield pdf[["id", "y"]].assign(terms=[t.tobytes() for t, _ in found], counts=[c.tobytes() for _, c in found])[some]
+            yield pdf[["id", "y"]].assign(terms=[t.tobytes() for t, _ in found], counts=[c.astype(np.int32).tobytes() for _, c in found])[some]
 
-    chosen = staged(sample.orderBy(F.xxhash64("id"), "id").limit(max_examples), "tox-examples")
+    first = lambda y, most: sample.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
+    marked = staged(first(1, max_examples // 2), "tox-examples")
+    chosen = marked.unionByName(first(0, max_examples - marked.count()))
     kept = chosen.mapInPandas(examples, "id long, y long, terms binary, counts binary").toPandas()  # its bound: max_examples texts
     if not len(kept):
         return None
@@ -240,14 +244,15 @@ def fit(
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     factor = idf * (FLOOR + np.sqrt(likelihood_ratio(n[:-1], pos[:-1], n[-1], pos[-1]) / n[-1]))
     # neighbours in the order of their strongest terms share blocks, which keeps the bounds sharp
-    vectors = [(np.searchsorted(vocabulary, t), np.frombuffer(c, np.int64).astype(float)) for t, c in zip(terms, kept["counts"], strict=True)]
+    vectors = [(np.searchsorted(vocabulary, t), np.frombuffer(c, np.int32)) for t, c in zip(terms, kept["counts"], strict=True)]
     lead = [t[np.lexsort((t, -factor[t]))[:8]].tolist() for t, _ in vectors]
     order = sorted(range(len(kept)), key=lead.__getitem__)
-    kept, vectors = kept.iloc[order], [vectors[i] for i in order]
-    model = Model(vocabulary, factor, None, kept["id"].to_numpy(), kept["y"].to_numpy(float), neighbours, pos[-1] / n[-1], None)
-    vectors = [(t, model.vector(t, c)) for t, c in vectors]
+    model = Model(vocabulary, factor, None, kept["id"].to_numpy()[order], kept["y"].to_numpy(float)[order], neighbours, pos[-1] / n[-1], None)
+    del terms, kept, lead
+    vectors = [(vectors[i][0].astype(np.int32), model.vector(*vectors[i])) for i in order]
     model.index = BlockMaxIndex(vectors, len(vocabulary))
-    model.steps = _steps(np.array([model.vote(t, w, skip=i)[0] for i, (t, w) in enumerate(vectors)]), model.labels)
+    stands = np.where(model.labels == 1, pos[-1] / max(1, model.labels.sum()), (n[-1] - pos[-1]) / max(1, (1 - model.labels).sum()))
+    model.steps = _steps(np.array([model.vote(t, w, skip=i)[0] for i, (t, w) in enumerate(vectors)]), model.labels, stands)
     return model
 
 
