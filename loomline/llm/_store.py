@@ -25,6 +25,9 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="loomline-")
@@ -91,6 +94,6 @@ def slices(sizes, most: int) -> Iterator[tuple[int, int]]:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
-    """Bounds what one Arrow batch of long texts holds in a Python worker."""
+    """Bounds what one Arrow batch of long texts holds in a Python worker; a setting of the session, as the work begins after the caller has returned."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
