@@ -173,6 +173,33 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict(df, empty).collect()} == {"und"}
 
 
+def test_language_equals_plain_sets(spark):
+    """Predictions and scores against sets of n-grams, a tie going to the first language."""
+    import re
+    from collections import Counter
+
+    rng = np.random.default_rng(5)
+    words = {k: ["".join(rng.choice(list(letters), rng.integers(1, 8))) for _ in range(30)] for k, letters in (("bb", "abcdeé"), ("aa", "abcxyz"), ("cc", "xyzüöd"))}
+    rows = [(i, " ".join(rng.choice(words[k], 12)) + ", 7!", k) for i, k in enumerate(list(words) * 20)]
+    mixed = [(100 + i, " ".join([*rng.choice(words["aa"], 6), *rng.choice(words["bb"], 5)]), None) for i in range(20)] + [(200, "7 ab", None), (201, "ßßß ßß", None)]
+
+    def grams(text):
+        found = Counter()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            found.update(f" {w} "[i : i + n] for n in (3, 4) for i in range(len(w) + 3 - n))
+        return found
+
+    known = {k: set().union(*(grams(t) for i, t, x in rows if x == k and i < 50)) for k in words}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = language.fit(df.filter("doc_id < 50"))
+    assert filters.languages == ["aa", "bb", "cc"]
+    for r in language.predict(spark.createDataFrame([*rows, *mixed], df.schema), filters).collect():
+        own = grams({i: t for i, t, _ in [*rows, *mixed]}[r.doc_id])
+        hits = {k: sum(n for g, n in own.items() if g in known[k]) for k in words}
+        best = max(sorted(hits), key=hits.get)
+        assert r.lang_pred == best and abs(r.score - hits[best] / own.total()) < 1e-4, (r, hits)
+
+
 def test_filter_rates_are_those_of_strangers():
     rng = np.random.default_rng(4)
     f = language.build({"a": rng.integers(0, 2**64, 5000, dtype=np.uint64), "b": rng.integers(0, 2**64, 20_000, dtype=np.uint64)}, 1 << 16)
