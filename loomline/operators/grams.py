@@ -59,8 +59,8 @@ def few(df: DataFrame, most: int = SMALL) -> list | None:
 
 
 def _pairs(needles: DataFrame) -> DataFrame:
-    """qid, gram of the needles' neighbouring characters that no white space parts."""
-    words = needles.select("qid", F.explode(F.array_distinct(T.query_grams(F.col("needle")))).alias("gram"))
+    """qid, needle, gram: the needles' neighbouring characters that no white space parts."""
+    words = needles.select("qid", "needle", F.explode(F.array_distinct(T.query_grams(F.col("needle")))).alias("gram"))
     return words.filter(F.length("gram") == 2)
 
 
@@ -71,12 +71,13 @@ def containing(rows: DataFrame, needles: DataFrame, k: int | None = None) -> Dat
     that can be among a needle's first k by position, then row_idx. An empty needle is
     in every text, none is in a null text.
     """
-    asked = few(needles.select("qid", "needle").filter("needle is not null"), SMALL // 8)
+    needles = needles.select("qid", "needle").filter("needle is not null").distinct()
+    asked = few(needles, SMALL // 8)
     wanted = None if asked is None else few(_pairs(needles))
     if wanted is None:
         return _joined(rows, needles)
-    number = {r.qid: i for i, r in enumerate(asked)}
-    pairs = [(number[r.qid], int(codes(r.gram)[0])) for r in wanted]
+    number = {(r.qid, r.needle): i for i, r in enumerate(asked)}
+    pairs = [(number[r.qid, r.needle], int(codes(r.gram)[0])) for r in wanted]
     known = np.unique(np.array([c for _, c in pairs] or [-1], np.int64))
     holds = np.zeros((len(known), len(asked)), np.float32)
     holds[np.searchsorted(known, [c for _, c in pairs]), [q for q, _ in pairs]] = 1
@@ -115,10 +116,10 @@ def _joined(rows: DataFrame, needles: DataFrame) -> DataFrame:
     grams = rows.select("row_idx", F.explode(F.array_distinct(T.char_ngrams(F.col("text")))).alias("gram"))
     postings = grams.join(pairs.select("gram").distinct(), "gram", "left_semi")
     df = postings.groupBy("gram").agg(F.count("*").alias("_df"))
-    rarest = pairs.join(df, "gram", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)), "gram"))["gram"].alias("gram"))
-    some = rarest.join(postings, "gram").select("qid", "row_idx").join(needles.select("qid", "needle"), "qid").join(rows.select("row_idx", "text"), "row_idx")
+    rarest = pairs.join(df, "gram", "left").groupBy("qid", "needle").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)), "gram"))["gram"].alias("gram"))
+    some = rarest.join(postings, "gram").select("qid", "needle", "row_idx").join(rows.select("row_idx", "text"), "row_idx")
     # needles without a gram, such as single characters, can be in any text
-    rest = needles.select("qid", "needle").join(pairs.select("qid").distinct(), "qid", "left_anti").crossJoin(rows.select("row_idx", "text"))
+    rest = needles.join(pairs.select("qid", "needle").distinct(), ["qid", "needle"], "left_anti").crossJoin(rows.select("row_idx", "text"))
     both = some.select("qid", "needle", "row_idx", "text").unionByName(rest.select("qid", "needle", "row_idx", "text"))
     return both.withColumn("position", F.expr("locate(needle, text)")).filter("position > 0").select("qid", "row_idx", "position")
 
