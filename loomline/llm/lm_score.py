@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._graph import IdFilter
 from ._store import small_batches, staged
 from ._tokens import segments
 from ._words import BASE, STEP, Words, batches, mix
@@ -43,21 +44,22 @@ _BATCH = "batch long, tokens long, counted long, good long, ids array<long>, mar
 _SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
-def packed(values: np.ndarray) -> bytes:
-    """An array of whole numbers, its bytes by place value, compressed."""
+def packed(values: np.ndarray, rising: bool = False) -> bytes:
+    """An array of whole numbers, its bytes by place value, compressed; of ``rising`` unsigned ones the differences."""
     import zstandard
 
-    width = values.shape[1] if values.ndim > 1 else values.itemsize
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T
+    values = np.diff(values, prepend=values.dtype.type(0)) if rising else values
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def unpacked(data: bytes, kind: type) -> np.ndarray:
+def unpacked(data: bytes, kind: type, rising: bool = False) -> np.ndarray:
     import zstandard
 
     width = np.dtype(kind).itemsize
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    values = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    return np.cumsum(values, dtype=kind) if rising else values
 
 
 def word_hashes(texts: list) -> Iterator[np.ndarray]:
@@ -83,7 +85,7 @@ def _gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, mark = np.array([len(h) for h in hashes], np.int64), np.array(marks, np.uint8)
         words, places = np.unique(np.concatenate(hashes), return_inverse=True)
         good = int(size[mark == 3].sum())
-        row = [number, int(size.sum()), int(size[mark > 0].sum()), good, list(ids), mark.tobytes(), packed(size), packed(words), packed(places.astype(np.uint32))]
+        row = [number, int(size.sum()), int(size[mark > 0].sum()), good, list(ids), mark.tobytes(), packed(size), packed(words, True), packed(places.astype(np.uint32))]
         held.clear()
         kinds = [*[pa.int64()] * 4, pa.list_(pa.int64()), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
@@ -120,7 +122,7 @@ class _Text:
     @classmethod
     def of(cls, marks: bytes, sizes: bytes, words: bytes, places: bytes) -> _Text:
         mark, size = np.frombuffer(marks, np.uint8), unpacked(sizes, np.int64)
-        word, place = unpacked(words, np.uint64), unpacked(places, np.uint32).astype(np.int64)
+        word, place = unpacked(words, np.uint64, True), unpacked(places, np.uint32).astype(np.int64)
         doc = np.repeat(np.arange(len(size)), size)
         follows = np.ones(len(doc), bool)
         follows[(np.cumsum(size) - size)[size > 0]] = False
@@ -151,7 +153,7 @@ def _asked(bits: int):
                 for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
                     if lo < hi:
                         key = (t.keys[lo:hi] << np.uint64(bits)) >> np.uint64(16)
-                        rows.append((batch, int(bucket[lo]), packed(key.view(np.uint8).reshape(-1, 8)[:, :6]), packed(t.nb[lo:hi]), packed(t.nt[lo:hi])))
+                        rows.append((batch, int(bucket[lo]), packed(key, True), packed(t.nb[lo:hi]), packed(t.nt[lo:hi])))
                 kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["batch", "bucket", "keys", "nb", "nt"])
@@ -164,12 +166,7 @@ def _answered(bits: int):
     mark = np.uint64(1 << bits)  # where a word's mark is in a stored key
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for data in pdf["keys"]:
-            six = unpacked(data, np.dtype("V6"))
-            key = np.zeros((len(six), 8), np.uint8)
-            key[:, :6] = six.view(np.uint8).reshape(-1, 6)
-            parts.append(key.view(np.uint64)[:, 0])
+        parts = [unpacked(data, np.uint64, True) for data in pdf["keys"]]
         known, at = np.unique(np.concatenate(parts), return_inverse=True)
         nb, nt = (np.bincount(at, np.concatenate([unpacked(x, np.int64) for x in pdf[c]]), len(known)).astype(np.int64) for c in ("nb", "nt"))
         cut = np.cumsum([len(p) for p in parts])[:-1]
@@ -227,8 +224,10 @@ def score(
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("id"), F.lit(3).alias("mark")).distinct()
-    rows = own.join(good, "id", "left").select("id", "text", F.coalesce("mark", F.lit(1)).alias("mark"))
+    good = staged(labels.filter(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("id"), F.lit(3).alias("mark")).distinct(), "lm-good")
+    near = IdFilter(good, "id").mark(own, "id", "maybe")  # so that only texts that may be good are joined, by shuffles at every size
+    rows = near.filter("not maybe").select("id", "text", F.lit(1).alias("mark"))
+    rows = rows.unionByName(near.filter("maybe").join(good.hint("merge"), "id", "left").select("id", "text", F.coalesce("mark", F.lit(1)).alias("mark")))
     if others is not None:
         rows = rows.unionByName(others.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).alias("mark")))
     gathered = staged(rows.mapInArrow(_gathered, _BATCH), "lm-batches")
