@@ -162,3 +162,32 @@ def test_tight_groups_without_vectors_between_them(spark):
     got = _embedded(spark, x)
     assert [r.n_links for r in got] == _all_pairs(x) == [59] * 480
     assert [r.component_id for r in got] == [i - i % 60 for i in range(480)]
+
+
+def test_components_cost_the_driver_two_jobs(spark):
+    """Small graphs are not connected by rounds of shuffles and broadcasts; larger ones give the same result."""
+    from loomline.llm import _graph
+
+    rng = np.random.default_rng(12)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 3000, (2500, 2))] + [(5000 + i, 5001 + i) for i in range(300)] + [(-4, -4)]
+    df = spark.createDataFrame(links, "a long, b long")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("cc-test", "components")
+    try:
+        got = components(df)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup("cc-test")) <= 5
+    assert sorted(got.collect()) == sorted(_graph._by_rounds(df.filter("a <> b")).collect())
+
+
+def test_id_filter_is_broadcast_in_few_rows(spark):
+    from loomline.llm._graph import IdFilter
+
+    ids = spark.range(0, 90_000, 3).withColumnRenamed("id", "doc_id")
+    held = IdFilter(ids, "doc_id")
+    assert held.blocks.count() <= held.bits // 4096
+    rows = spark.range(100_000).union(spark.sql("select cast(null as long)"))
+    got = {r.id for r in held.apply(rows, "id").collect()}
+    assert set(range(0, 90_000, 3)) <= got and None not in got
+    assert len(got) < 30_000 + 7_000
