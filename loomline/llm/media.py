@@ -177,12 +177,12 @@ def read_headers(manifest: DataFrame, uri: str) -> DataFrame:
     return _places(manifest).mapInPandas(run, "payload_sha256 string, width int, height int, bit_depth int")
 
 
-def read_features(manifest: DataFrame, uri: str) -> DataFrame:
-    """A row per payload from its whole stored form: digests and feature.
+_FEATURES = "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    ``payload_sha256`` is that of the decoded samples; a form that decodes to another payload fails.
-    """
-    out = "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+def _read(manifest: DataFrame, uri: str, *, headers: bool) -> DataFrame:
+    """``read_features``; with ``headers`` also the columns of ``read_headers``, from a range read before that of the whole form, and each payload's place."""
+    out = _FEATURES + (", width int, height int, bit_depth int, shard string, at long, size long" if headers else "")
 
     def run(parts):
         import pandas as pd
@@ -195,17 +195,29 @@ def read_features(manifest: DataFrame, uri: str) -> DataFrame:
                 if name != shard:
                     shard, source = name, fs.open_input_file(f"{root}/{name}")
                 source.seek(at)
+                more = ()
+                if headers:
+                    more = (*header(source.read(HEADER_BYTES))[:3], name, at, size)
+                    source.seek(at)
                 media = source.read(size)
                 payload = decode(media)
                 found = hashlib.sha256(payload).hexdigest()
                 if found != sha:
                     raise ValueError(f"{name} at {at}: stored payload differs")
-                rows.append((found, zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), fingerprint(payload)))
+                rows.append((found, zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), fingerprint(payload), *more))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
 
     return _places(manifest).mapInPandas(run, out)
 
 
+def read_features(manifest: DataFrame, uri: str) -> DataFrame:
+    """A row per payload from its whole stored form: digests and feature.
+
+    ``payload_sha256`` is that of the decoded samples; a form that decodes to another payload fails.
+    """
+    return _read(manifest, uri, headers=False)
+
+
 def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", uri: str | None = None) -> DataFrame:
     """Every whole text as a stored PNG, read back: a row per document with the columns of ``read_headers``,
     which come from range reads of the headers alone, those of ``read_features``, doc_id, n_bytes,
@@ -219,7 +231,5 @@ def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     small_batches(spark, rows=500)
     uri = uri or workspace(spark, "media")
     manifest = staged(store(docs, uri, id_col=id_col, payload=F.encode(F.col(text_col), "utf-8")), "media-manifest")
-    places = manifest.groupBy("payload_sha256").agg(F.min(F.struct("shard", "at", "size")).alias("_p"))
-    found = read_features(manifest, uri).join(read_headers(manifest, uri), "payload_sha256").join(places, "payload_sha256")
     rows = manifest.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
-    return rows.join(found, "payload_sha256").select("*", "_p.shard", "_p.at", "_p.size").drop("_p")
+    return rows.join(_read(manifest, uri, headers=True), "payload_sha256")

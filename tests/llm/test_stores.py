@@ -44,6 +44,13 @@ def test_headers_are_read_alone(spark):
     assert {r.payload_sha256: r.payload_bytes // 64 for r in manifest.collect()} == heights
 
 
+def test_media_payloads_are_shuffled_twice_and_joined_once(spark):
+    found = media.media_columns(docs(spark))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("MapInPandas") == 1
+    assert found.columns == ["payload_sha256", "doc_id", "n_bytes", "payload_bytes", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", "shard", "at", "size"]
+
+
 def test_warc_round_trip(spark):
     pages = [(3, "u", "x"), (1, None, "x"), (2, "u\n", None), (5, "v", ""), (None, "w", "x"), (9, "z", "y" * 3_000_000), (8, "é", "ü"), (1, "q", "x")]
     df = spark.createDataFrame([(*p, "c") for p in pages], "page_id long, url string, html string, record_type string")
