@@ -173,7 +173,7 @@ def mix(
     sums = sums.groupBy("idx", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(chunks)).alias("chunk")).agg(F.sum("size").alias("_n"))
     begins = running(sums, "idx", "chunk", "_n", "_begin").drop("_n")
     placed = keyed.join(begins, ["idx", "chunk"]).withColumn("start", F.col("_begin") + F.col("_upto"))
-    placed = placed.select("doc_id", "idx", "chunk", "pos", "size", "start")
+    placed = staged(placed.select("doc_id", "idx", "chunk", "pos", "size", "start"), "mix-docs")
 
     # slots draw sources; a quota is a span of the number line
     line = Window.partitionBy(F.lit(0)).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
@@ -199,4 +199,6 @@ def mix(
     moved = moved.select("shard", "slot", "idx", (F.col("_got") + F.col("_at") - F.col("_ulo")).alias("_rank"))
     filled = kept.unionByName(moved).join(state.select("idx", "blocks"), "idx")
     number = permuted(F.col("_rank") % F.col("blocks"), F.col("blocks"), F.xxhash64("idx", F.lit(seed)))
-    return Mix(sources, placed, filled.select("shard", "slot", "idx", number.alias("block")), block)
+    # written, as a plan of all its shuffles is told to the driver anew after each of them
+    slots = staged(filled.select("shard", "slot", "idx", number.alias("block")), "mix-slots")
+    return Mix(sources, placed, slots, block)

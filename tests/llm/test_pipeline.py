@@ -120,6 +120,14 @@ def test_texts_of_a_mix_are_its_blocks(spark, rows):
     assert seen == Counter({(d, i): times[x, (a + i) // 16] for d, (x, a, n) in start.items() for i in range(n) if times[x, (a + i) // 16]})
 
 
+def test_plan_of_a_mix_is_written_in_parts(spark, rows):
+    """The driver plans the mix in parts, not as one plan of all its windows and shuffles."""
+    docs = spark.createDataFrame([(k, t, s) for k, (_, t, _, s) in enumerate(rows)], "doc_id long, text string, source string")
+    mix = mixing.mix(docs, block=16)
+    for df in (mix.docs, mix.slots, mix.texts(docs), mix.taken()):
+        assert "Window" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_packing_stage(spark, rows, tmp_path):
     tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
