@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import staged
+from ._store import staged, unsent
 
 #: Links that one task connects; more are connected by rounds of joins.
 TASK_LINKS = 1 << 20
@@ -61,11 +61,11 @@ def _by_rounds(links: DataFrame) -> DataFrame:
     both = staged(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-both")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "cc-labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"))
-        new = labels.join(near, "node").select("node", F.least("component", "_near").alias("component"), F.col("component").alias("_old"))
+        near = both.join(unsent(labels), both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"))
+        new = labels.join(unsent(near), "node").select("node", F.least("component", "_near").alias("component"), F.col("component").alias("_old"))
         for _ in range(2):
             jump = new.select(F.col("node").alias("component"), F.col("component").alias("_next"))
-            new = new.join(jump, "component").select("node", F.least("component", "_next").alias("component"), "_old")
+            new = new.join(unsent(jump), "component").select("node", F.least("component", "_next").alias("component"), "_old")
         new = staged(new, "cc-labels")
         labels = new.drop("_old")
         if new.filter("component <> _old").isEmpty():

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import IdFilter, components
-from ._store import small_batches, staged
+from ._store import small_batches, staged, unsent
 from ._words import BASE, STEP, Words, batches, mix
 
 WIDTH, REGISTERS, ROWS, MANTISSA = 5, 128, 4, 10
@@ -251,7 +251,7 @@ def whole_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["rep", "s"])
 
     texts = IdFilter(ids, "rep").apply(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    sets = texts.mapInArrow(run, "rep long, s binary").join(ids, "rep", "left_semi")
+    sets = texts.mapInArrow(run, "rep long, s binary").join(unsent(ids), "rep", "left_semi")
     return staged(sets, "dup-sets")
 
 
@@ -267,7 +267,7 @@ def _cells(members: DataFrame) -> DataFrame:
     blocks = lambda n, b: F.greatest(F.ceil(n / BLOCK), F.ceil(b / BYTES))
     n, b = F.col("m") - F.col("top.n"), F.col("mb") - F.col("top.b")
     keys = keys.select("key", F.col("top.component").alias("_main"), blocks(n, b).alias("_rows"), blocks(F.col("m"), F.col("mb")).alias("_columns"))
-    held = staged(members.join(keys, "key"), "dup-held")
+    held = staged(members.join(unsent(keys), "key"), "dup-held")
     own = lambda c: F.pmod(F.xxhash64("rep"), F.col(c))
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     left = held.filter("component <> _main").select("key", own("_rows").alias("i"), each("_columns").alias("j"), F.lit(0).alias("side"), "rep", "component", "bytes")
@@ -283,7 +283,7 @@ def _compared(cells: DataFrame, shown: DataFrame, percent: int, *, by_set: bool)
     """
     total = cells.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     bundles = int(max(1, total[0] // (4 * BLOCK), total[1] // (2 * BYTES)))
-    joined = cells.drop("bytes").join(shown, "rep").withColumn("bundle", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bundles)))
+    joined = cells.drop("bytes").join(unsent(shown), "rep").withColumn("bundle", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bundles)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
@@ -329,35 +329,35 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = some.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("c"))
     classes = staged(classes.select("digest", F.col("c.doc_id").alias("rep"), F.col("c.n_shingles").alias("n"), "c.registers"), "dup-classes")
 
-    bytes_per = 2 * ROWS
+    sizes, bytes_per = unsent(classes.select("rep", (F.col("n") * 8).alias("bytes"))), 2 * ROWS
     bands = classes.select("rep", F.explode(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1))).alias("band"), "registers")
     bands = bands.select("rep", F.xxhash64("band", F.expr(f"substring(registers, band * {bytes_per} + 1, {bytes_per})")).alias("key"))
     shared = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("_last"), F.count("*").alias("m")).filter("pivot <> _last").drop("_last")
-    members = staged(bands.join(shared, "key"), "dup-members")
+    members = staged(bands.join(unsent(shared), "key"), "dup-members")
 
     votes = members.filter("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("_n"))
     stars = votes.groupBy("rep").agg(F.max(F.struct("_n", -F.col("pivot"))).alias("v")).select((-F.col("v.col2")).alias("key"), "rep")
     sets = whole_sets(staged(members.select("rep").distinct(), "dup-ids"), docs)
-    shown = classes.join(sets, "rep").select("rep", "n", "registers", "s")
-    sized = staged(stars.join(classes.select("rep", (F.col("n") * 8).alias("bytes")), "rep").withColumn("component", F.col("rep")), "dup-stars")
+    shown = classes.join(unsent(sets), "rep").select("rep", "n", "registers", "s")
+    sized = staged(stars.join(sizes, "rep").withColumn("component", F.col("rep")), "dup-stars")
     pivots = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
     pivots = pivots.select("key", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("b") / BYTES)).alias("_rows"))
     zero = F.lit(0).cast("long")
-    left = sized.join(pivots, "key").select("key", F.pmod(F.xxhash64("rep"), F.col("_rows")).alias("i"), zero.alias("j"), F.lit(0).alias("side"), "rep", "component", "bytes")
+    left = sized.join(unsent(pivots), "key").select("key", F.pmod(F.xxhash64("rep"), F.col("_rows")).alias("i"), zero.alias("j"), F.lit(0).alias("side"), "rep", "component", "bytes")
     right = pivots.select("key", F.explode(F.sequence(zero, F.col("_rows") - 1)).alias("i"), zero.alias("j"), F.lit(1).alias("side"), F.col("key").alias("rep"), F.col("key").alias("component"))
-    right = right.join(classes.select("rep", (F.col("n") * 8).alias("bytes")), "rep").select(left.columns)
+    right = right.join(sizes, "rep").select(left.columns)
     links = _compared(left.union(right), shown, percent, by_set=True)
     labels = components(links)
 
-    placed = members.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = members.select("key", "rep").join(unsent(labels.withColumnRenamed("node", "rep")), "rep", "left")
     placed = placed.select("key", "rep", F.coalesce("component", "rep").alias("component"), F.lit(2 * REGISTERS + 64).alias("bytes"))
     cells = staged(_cells(placed), "dup-cells")
     near = _compared(cells, classes.select("rep", "n", "registers"), percent, by_set=False)
     groups = components(near).select(F.col("node").alias("component"), F.col("component").alias("key"))
-    inside = cells.select("rep", "component").distinct().join(groups, "component").join(classes.select("rep", (F.col("n") * 8).alias("bytes")), "rep")
+    inside = cells.select("rep", "component").distinct().join(unsent(groups), "component").join(sizes, "rep")
     more = _compared(_cells(inside.select("key", "rep", "component", "bytes")), shown, percent, by_set=True)
     labels = components(links.union(more))
 
-    member = signs.join(classes.select("digest", "rep"), "digest", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    member = signs.join(unsent(classes.select("digest", "rep")), "digest", "left").join(unsent(labels.withColumnRenamed("node", "rep")), "rep", "left")
     label = F.coalesce("component", "rep", "doc_id")
     return member.select("doc_id", "n_shingles", label.alias("component_id"), F.col("doc_id").eqNullSafe(label).alias("kept"))

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import staged
+from ._store import staged, unsent
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A word with the white space after it, the first one also with that before it.
@@ -96,7 +96,7 @@ class Mix:
         n = self.block
         picks = self.slots.groupBy("idx", "block").agg(F.count("*").alias("times"))
         spread = F.when(F.col("size") > 0, F.sequence((F.col("start") / n).cast("long"), ((F.col("start") + F.col("size") - 1) / n).cast("long")))
-        return self.docs.withColumn("block", F.explode_outer(spread)).join(picks, ["idx", "block"], "left")
+        return self.docs.withColumn("block", F.explode_outer(spread)).join(unsent(picks), ["idx", "block"], "left")
 
     def taken(self) -> DataFrame:
         """doc_id, size, source, source_size, target, taken: a row per document."""
@@ -127,7 +127,7 @@ class Mix:
         first = F.greatest(F.get("b", F.col("_i")) * n - F.col("start"), F.lit(0))
         run = run.withColumn("first", first).withColumn("words", F.least((last + 1) * n - F.col("start"), F.col("size")) - F.col("first"))
         run = run.select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), "round", "first", "words")
-        joined = docs.drop("round", "first", "words").join(run, F.col(id_col) == F.col("_mix_id"))
+        joined = docs.drop("round", "first", "words").join(unsent(run), F.col(id_col) == F.col("_mix_id"))
         part = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(PIECE), F.lit(0)), (F.col("first") + 1).cast("int"), F.col("words").cast("int")), "")
         return joined.withColumn(text_col, F.when(F.col("words") < F.col("_mix_size"), part).otherwise(F.col(text_col))).drop("_mix_id", "_mix_size")
 

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from loomline.llm import embeddings, minhash
+from loomline.llm import embeddings, minhash, mixing
 from loomline.llm._graph import components
 
 from .test_text_kernels import shingles_of
@@ -191,3 +191,23 @@ def test_id_filter_is_broadcast_in_few_rows(spark):
     got = {r.id for r in held.apply(rows, "id").collect()}
     assert set(range(0, 90_000, 3)) <= got and None not in got
     assert len(got) < 30_000 + 7_000
+
+
+def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
+    """Only the filter of ids, which is bounded, may pass through the driver; Spark alone would broadcast every table of this size."""
+    plans, staged = {}, minhash.staged
+
+    def watched(df, what):
+        plans.setdefault(what, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, what)
+
+    monkeypatch.setattr(minhash, "staged", watched)
+    rows = [(i, " ".join(f"w{(i // 3) * 50 + k}" for k in range(40)) + (" x" if i % 3 else "")) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash.near_duplicates(docs)
+    plans["labels"] = [found._jdf.queryExecution().executedPlan().toString()]
+    assert {r.component_id for r in found.collect()} == set(range(0, 30, 3))
+    sent = {what: plan.count("BroadcastHashJoin") for what, parts in plans.items() for plan in parts if "BroadcastHashJoin" in plan}
+    assert sent == {"dup-sets": 1}
+    mixed = mixing.mix(docs.selectExpr("*", "'s' as source"))
+    assert "BroadcastHashJoin" not in mixed._held()._jdf.queryExecution().executedPlan().toString()
