@@ -180,3 +180,39 @@ def test_readers_and_reports(spark, tmp_path):
     assert "☐ 1" in sheet and "✓ 1" in sheet and "问" * 30 + "…" in sheet and "法 一; 法 二" in sheet and "证\\|据" in sheet
     status = evaluate.with_review(spark.createDataFrame([("a",), ("b",)], "qid string"), spark.createDataFrame([("a", "ok", None, None)], "qid string, status string, reviewer string, date string"))
     assert {r.qid: r.status for r in status.collect()} == {"a": "ok", "b": "pending"}
+
+
+def _grid(spark, monkeypatch):
+    """Vectors with many ties over more blocks than one, and two variants of each query; sims by numpy."""
+    monkeypatch.setattr(semantic, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(semantic, "VECTOR_BLOCK", 30)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (200, 4)) / 4
+    vectors = spark.createDataFrame([(i, "m", v.tolist()) for i, v in enumerate(x)], "row_idx long, model string, vec array<double>")
+    queries = spark.createDataFrame([(i - i % 10, "m", "qe"[i % 10], x[i].tolist()) for i in range(200) if i % 10 < 2], "qid long, model string, variant string, vec array<double>")
+    sem = {}
+    for i in range(200):
+        if i % 10 < 2:
+            sim = np.round(x @ x[i], 6)
+            for r, j in enumerate(np.lexsort((np.arange(200), -sim)).tolist()):
+                sem[i - i % 10, j] = min(sem.get((i - i % 10, j), 999), r + 1)
+    return vectors, queries, x, sem
+
+
+def test_semantic_ranks_over_a_grid_of_blocks(spark, monkeypatch):
+    vectors, queries, _, sem = _grid(spark, monkeypatch)
+    # no set of query vectors is too large, as none is collected
+    got = {(r.qid, r.row_idx): r.sem for r in semantic.semantic_ranks(vectors, queries, 9).collect()}
+    assert got == {k: v for k, v in sem.items() if v <= 9}
+    hits = spark.createDataFrame([(q, (q * 3 + k) % 230) for q in range(0, 200, 10) for k in range(4)], "qid long, row_idx long")
+    few = {(r.qid, r.row_idx) for r in hits.collect()}
+    assert {(r.qid, r.row_idx): r.sem for r in semantic.ranks_among(vectors, queries, hits).collect()} == {k: v for k, v in sem.items() if k in few}
+    both = [(r.qid, r.row_idx, r.sem) for r in semantic.ranks_and_pool(vectors, queries, hits, 9).collect()]
+    assert sorted(both) == sorted((*k, v) for k, v in sem.items() if v <= 9 or k in few)
+
+
+def test_pair_similarities_form_no_other_pairs(spark, monkeypatch):
+    vectors, queries, x, _ = _grid(spark, monkeypatch)
+    hits = spark.createDataFrame([(0, 5), (0, 999), (10, 6), (77, 1)], "qid long, row_idx long")
+    got = {(r.qid, r.variant, r.row_idx): r.sim for r in semantic.pair_similarities(vectors, queries, hits).collect()}
+    assert got == {(0, "q", 5): round(x[0] @ x[5], 6), (0, "e", 5): round(x[1] @ x[5], 6), (10, "q", 6): round(x[10] @ x[6], 6), (10, "e", 6): round(x[11] @ x[6], 6)}
