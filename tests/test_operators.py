@@ -245,3 +245,15 @@ def test_phrases_and_gold_move_no_windows(spark, monkeypatch):
     made = gold.make_gold(rows, 30).collect()
     monkeypatch.setattr(gold, "PORTION", 3)
     assert gold.make_gold(rows, 2).count() == 2 and {r.gold_id for r in gold.make_gold(rows, 1).collect()} <= {r.gold_id for r in made}
+
+
+def test_gold_and_channels_are_searched_once(spark):
+    once = lambda df: df.mapInArrow(lambda parts: parts, df.schema)
+    gold_rows = once(spark.createDataFrame([(1, [7, 8]), (2, []), (3, [9])], "qid long, gold_ids array<long>"))
+    lists = once(spark.createDataFrame([(1, "bm25", 1.0, 2, 7), (1, "like", 1.0, 1, 8), (1, "expand", 1.5, 1, 5), (3, "expand", 1.5, 1, 9)], "qid long, channel string, weight double, rank int, row_idx long"))
+    hits = evaluate.hits_in(gold_rows, retrieval.told_apart(lists), ["like", "bm25", "hybrid"])
+    assert {tuple(r) for r in hits.collect()} == {(1, 1, 2, 2), (2, None, None, None), (3, None, None, 1)}
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    one = evaluate.first_hits(gold_rows, retrieval.rrf(lists))
+    assert {tuple(r) for r in one.collect()} == {(1, 2), (2, None), (3, 1)}
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
