@@ -197,20 +197,23 @@ def deinterleave(paragraphs: DataFrame) -> DataFrame:
 def html_paragraphs(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, pos, line: scripts and styles dropped, tags as line ends, five entities decoded, lines of up to two
     characters run together until a longer one."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
+    # one after the other, so that what a script holds cannot open a style; its long s is a letter that s stands for without case
+    t = F.coalesce(html, F.lit(""))
+    for tag in ("[sſ]cript", "[sſ]tyle"):
+        t = F.regexp_replace(t, f"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
     t = F.regexp_replace(t, "(?s)<[^>]+>", "\n")
     for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&mdash;", "—")):
         t = F.replace(t, F.lit(entity), F.lit(char))
-    strip = lambda x: F.regexp_replace(x, f"^[{T.SPACE_CLASS}]+|[{T.SPACE_CLASS}]+$", "")
-    lines = F.filter(F.transform(F.split(t, "\n"), strip), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(t, "\n"), T.squeezed_ends), lambda x: x != "")
     # a line begins a paragraph unless it and the one before are both short
     size = lambda i: F.length(F.get("_lines", i))
     begins = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: (i == 0) | (size(i) > 2) | (size(F.greatest(i - 1, F.lit(0))) > 2))
-    d = pages.select(key, lines.alias("_lines")).filter(F.size("_lines") > 0).withColumn("_begins", begins)
-    d = d.select(key, "_lines", "_begins", F.posexplode("_begins").alias("pos", "_from"))
+    d = pages.select(key, lines.alias("_lines")).withColumn("_begins", F.when(F.size("_lines") > 0, begins))
+    # outer: from an inner one Spark infers a test of the array's size, pushes it to the scan and forms all lines of a page again for each of them there
+    d = d.select(key, "_lines", "_begins", F.posexplode_outer("_begins").alias("pos", "_from"))
     upto = F.coalesce(F.get("_begins", F.col("pos") + 1), F.size("_lines"))
     whole = F.array_join(F.slice("_lines", F.col("_from") + 1, upto - F.col("_from")), "")
-    return d.select(key, "pos", T.normalize_line(whole).alias("line"))
+    return d.filter("pos is not null").select(key, "pos", T.normalize_line(whole).alias("line"))
 
 
 def merge_violations(base: DataFrame, fragment: DataFrame) -> DataFrame:

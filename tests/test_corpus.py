@@ -66,6 +66,21 @@ def test_html(spark):
     assert [r.line for r in got] == ["第一", "长段落 文字", "尾"]
 
 
+def test_html_lines_are_formed_once(spark, tmp_path):
+    pages = ["<p>a\u2003</p>" * 3 + "<p>\u3000long line\r</p>", "", None, "<script></script>" + "<b>x</b>" * 5, "<script>"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages")
+    found = etl.html_paragraphs(spark.read.parquet(f"{tmp_path}/pages"))
+    assert [(r.page_id, r.pos, r.line) for r in found.orderBy("page_id", "pos").collect()] == [(0, 0, "aaa"), (0, 1, "long line"), (3, 0, "xxxxx")]
+    # a test of the array, formed again for each of its lines, was pushed to the scan
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("&nbsp;") == 1
+
+
+def test_html_scripts_go_before_styles(spark):
+    pages = ["<style>a<script>b</style>c</script>d", "<SCRIPT>a<style>b</Script>c</style>d", "<ſcript>a</script>b<ſtyle>c</STYLE>d"]
+    got = etl.html_paragraphs(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).orderBy("page_id", "pos").collect()
+    assert [(r.page_id, r.line) for r in got] == [(0, "a d"), (1, "cd"), (2, "b d")]
+
+
 def test_merging_and_rebuilding(spark):
     schema = "row_idx long, id long, law string, num string, text string"
     base = spark.createDataFrame([(1, 1, "甲", "第一条", "x"), (2, 2, "乙", "第一条", "y")], schema)
