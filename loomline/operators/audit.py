@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,34 +29,61 @@ def source_of(source: Column, row_id: Column) -> Column:
 FLAGS = ["empty-or-tiny", "very-long", "whole-document", "num-mapped", "dup-law-num", "polluted-interleave", "narrow-no-furniture"]
 
 
-def narrow_column(text: Column) -> Column:
-    """Whether the upper median length of blank-separated fragments is small: more than half of them are short, or half of an odd rest."""
-    text, inside = F.coalesce(text, F.lit("")), f"[^{T.SPACE_CLASS}]"
-    every = F.regexp_count(text, F.lit(f"{inside}+"))
-    short = F.regexp_count(text, F.lit(f"(?<!{inside}){inside}{{1,{NARROW - 1}}}(?!{inside})"))
-    return (every > 0) & (short >= F.floor(every / 2) + 1)
+#: Characters whose fragments are found at a time; which code points are white space, the last of the table standing for all above.
+PORTION = 1 << 20
+_SPACE = np.zeros(max(map(ord, T.SPACE_CHARS)) + 2, bool)
+_SPACE[[ord(c) for c in T.SPACE_CHARS]] = True
+
+
+def _shapes(texts: pd.Series) -> pd.DataFrame:
+    """solid, narrow of UTF-8 texts, from one look at each character."""
+    said = [x.decode("utf-8", "replace") for x in texts]
+    solid, narrow = np.zeros(len(said), np.int64), np.zeros(len(said), bool)
+    lo, size = 0, 0
+    for hi, t in enumerate(said, 1):
+        size += len(t)
+        if size < PORTION and hi < len(said):
+            continue
+        part = said[lo:hi]
+        flat = np.frombuffer("\n".join([*part, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)  # each text ends in a line's end
+        change = np.diff((~_SPACE[np.minimum(flat, len(_SPACE) - 1)]).view(np.int8), prepend=np.int8(0))
+        begin, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+        of = np.searchsorted(np.cumsum([len(x) + 1 for x in part]), begin, "right")
+        every, short = np.bincount(of, minlength=len(part)), np.bincount(of[end - begin < NARROW], minlength=len(part))
+        solid[lo:hi] = np.bincount(of, end - begin, len(part))
+        narrow[lo:hi] = (every > 0) & (short >= every // 2 + 1)
+        lo, size = hi, 0
+    return pd.DataFrame({"solid": solid, "narrow": narrow})
+
+
+def text_shape(text: Column) -> Column:
+    """solid: characters that are no white space; narrow: whether the upper median length of blank-separated fragments is
+    small, that is more than half of them are short, or half of an odd rest."""
+    return F.pandas_udf(_shapes, "solid long, narrow boolean")(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def row_flags(rows: DataFrame) -> DataFrame:
     """rows (id, law, num, text, source, unit, num_origin) with ``flags`` and ``origin``."""
     text = F.coalesce("text", F.lit(""))
-    # pairs are counted and joined, so that no frequent pair gathers its rows and texts in one task
-    twice = duplicate_pairs(rows).select(F.struct("law", "num").alias("_pair"))
-    d = rows.withColumn("origin", source_of(F.col("source"), F.col("id"))).withColumn("_narrow", narrow_column(F.col("text")))
-    d = d.join(twice, F.struct("law", "num").eqNullSafe(F.col("_pair")), "left").withColumn("_dup", F.col("_pair").isNotNull()).drop("_pair")
     furniture = F.contains(text, F.lit(FURNITURE)) | text.rlike(PAGE_MARK)
-    gazette = (F.col("origin") == GAZETTE) & F.col("_narrow")
+    d = rows.withColumn("origin", source_of(F.col("source"), F.col("id"))).withColumn("_shape", text_shape(F.col("text")))
+    # what texts tell is told before the join, so that they are moved for those only who want them
+    d = d.withColumn("_narrow", (F.col("origin") == GAZETTE) & F.col("_shape.narrow"))
+    d = d.withColumns({"_tiny": F.col("_shape.solid") < TINY, "_long": F.length(text) > VERY_LONG, "_furniture": F.col("_narrow") & furniture}).drop("_shape")
+    # pairs are counted and joined, so that no frequent pair gathers its rows in one task
+    twice = duplicate_pairs(rows).select(F.struct("law", "num").alias("_pair"))
+    d = d.join(twice, F.struct("law", "num").eqNullSafe(F.col("_pair")), "left")
     tests = [
-        F.length(T.squeeze(text)) < TINY,
-        F.length(text) > VERY_LONG,
+        F.col("_tiny"),
+        F.col("_long"),
         (F.col("num") == WHOLE) | (F.col("unit") == "whole-document"),
         F.col("num_origin").isNotNull() & ~F.col("num_origin").eqNullSafe(F.col("num")),
-        F.col("_dup"),
-        gazette & furniture,
-        gazette & ~furniture,
+        F.col("_pair").isNotNull(),
+        F.col("_furniture"),
+        F.col("_narrow") & ~F.col("_furniture"),
     ]
     found = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in zip(FLAGS, tests, strict=True))))
-    return d.withColumn("flags", found).drop("_dup", "_narrow")
+    return d.withColumn("flags", found).drop("_pair", "_tiny", "_long", "_narrow", "_furniture")
 
 
 def audit(flagged: DataFrame, *by: str) -> DataFrame:

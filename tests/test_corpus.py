@@ -1,11 +1,14 @@
 import io
 import json
+import re
 import sqlite3
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from loomline.functions import text as T
 from loomline.operators import audit, etl, gold
 from loomline.sources import files, sinks
 
@@ -117,6 +120,22 @@ def test_flags_and_coverage(spark):
     assert tuple(audit.coverage_rate(audit.coverage(catalog, d)).first()) == (2, 1, 0.5)
 
 
+def test_texts_are_not_moved_for_their_flags(spark):
+    schema = "id long, law string, num string, text string, source string, unit string, num_origin string"
+    flagged = audit.audit(audit.row_flags(spark.createDataFrame([(1, "甲", "第一条", "x", None, None, None)], schema)), "law")
+    above, mark, _ = flagged._jdf.queryExecution().optimizedPlan().toString().partition("Join LeftOuter")
+    assert mark and "text#" not in above
+
+
+def test_shapes_of_texts(monkeypatch):
+    monkeypatch.setattr(audit, "PORTION", 40)
+    texts = ["", " \u3000", "a" * 19, "a" * 20, " ".join(["a" * 19, "b" * 20]), "\u00a0".join(["a" * 19, "b" * 19, "c" * 20]), "😀" * 19 + "\x1c😀\u200b", "a\u1680" * 30, "b"]
+    got = audit._shapes(pd.Series([t.encode() for t in texts]))
+    sizes = [sorted(map(len, re.split(f"[{T.SPACE_CHARS}]+", t.strip(T.SPACE_CHARS)))) if t.strip(T.SPACE_CHARS) else [] for t in texts]
+    assert got.solid.tolist() == [sum(x) for x in sizes]
+    assert got.narrow.tolist() == [bool(x) and x[len(x) // 2] < audit.NARROW for x in sizes]
+
+
 def test_gold(spark):
     rows = [(i, i, "法", f"第{i}条", t) for i, t in enumerate(["甲乙丙丁戊己庚", "甲乙丙丁戊己辛", "子丑寅卯辰巳午", "短"])]
     corpus = spark.createDataFrame(rows, "row_idx long, id long, law string, num string, text string")
