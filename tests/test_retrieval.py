@@ -1,10 +1,12 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomline.operators import evaluate, retrieval, semantic
+from loomline.operators import grams as G
 
 TEXTS = ["劳动合同应当以书面形式订立", "书面形式的合同 由双方签订", "用人单位应当支付工资", "工资应当按月支付", "", "合"]
 
@@ -143,3 +145,24 @@ def test_models_that_fail_give_no_scores(spark):
     texts = spark.createDataFrame([(1, "ab"), (2, "c")], "k long, text string")
     got = semantic.encode(texts, lambda: lambda batch: [[3.0 * len(t), 4.0 * len(t)] for t in batch], "k").collect()
     assert all(r.vec == pytest.approx([0.6, 0.8]) for r in got)
+
+
+def test_recall_searches_the_texts_once(spark):
+    rows = spark.createDataFrame([(i, i, "l", "n", t) for i, t in enumerate(["ab cd", "abcd", "zz", None])], "row_idx long, id long, law string, num string, text string")
+    asked = spark.createDataFrame([(1, "abc"), (2, "b c"), (3, "qq"), (4, "zy")], "qid long, query string")
+    pool = spark.createDataFrame([(q, r, i) for q in (1, 3, 4) for r, i in enumerate((2, 1, 9), 1)], "qid long, rank int, row_idx long")
+    found = retrieval.Hybrid(rows, {}, pool).recall_with_trace(asked)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    got = [(r.qid, r.rank, r.row_idx, r.channels) for r in found.orderBy("qid", "rank").collect()]
+    said = ["semantic"]
+    assert [x for x in got if x[0] != 2] == [
+        (1, 1, 1, ["bm25", "like"]), (1, 2, 0, ["bm25"]), (3, 1, 2, said), (3, 2, 1, said), (3, 3, 9, said), (4, 1, 2, said), (4, 2, 1, said), (4, 3, 9, said)]
+
+
+def test_gram_counts_by_table_and_by_search(monkeypatch):
+    texts = ["", "a", "ab", "aab", "\n\na", "😀a😀a", "\U0010ffff", "b\U0010ffffb", "a"]
+    known = np.unique(np.concatenate([G.codes(t) for t in ("a", "aab", "\n\na", "😀a", "\U0010ffff", "b\U0010ffff", "\x00\x00")]))
+    table = G.counts(texts, known)
+    assert table.tolist() == [[int((G.codes(t) == k).sum()) for k in known] for t in texts]
+    monkeypatch.setattr(G, "CHARS", 1)
+    assert (G.counts(texts, known) == table).all()
